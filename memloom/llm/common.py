@@ -58,3 +58,41 @@ def batches_of(schema: pa.Schema, columns: list, step: int = 65_536):
         yield pa.RecordBatch.from_arrays(
             [pa.array(c[i : i + step], f.type) for c, f in zip(columns, schema)], schema=schema
         )
+
+
+def map_texts(docs: DataFrame, text_col: str, make, fields: dict[str, pa.DataType], need_text: bool = True) -> DataFrame:
+    """``docs`` with new columns from each whole text.
+
+    ``make()`` runs once a task and gives a function from bytes (None for null) to a tuple of values,
+    one per field. Columns of ``docs`` with a new name are replaced. Without ``need_text`` the text
+    itself is not sent back. Output batches hold about 8 MB of text at most.
+    """
+    from pyspark.sql.pandas.types import from_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
+    ship(docs.sparkSession)
+    keep = [f for f in docs.schema.fields if f.name not in fields and (need_text or f.name != text_col)]
+    names = [f.name for f in keep]
+    # Arrow functions see columns by position: the text goes first, under no name of the table's.
+    sent = docs.select(F.col(f"`{text_col}`").alias("wl_text"), *[F.col(f"`{n}`").alias(f"wl_{i}") for i, n in enumerate(names)])
+    out = StructType(
+        [StructField(f"wl_{i}", f.dataType, True) for i, f in enumerate(keep)]
+        + [StructField(f"wl_new_{n}", from_arrow_type(t), True) for n, t in fields.items()]
+    )
+    types = list(fields.values())
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            start, held, rows = 0, 0, []
+            for i, raw in enumerate(raw_texts(batch, "wl_text")):
+                rows.append(work(raw))
+                held += len(raw or b"")
+                if held > 8_000_000 or i + 1 == batch.num_rows:
+                    part = batch.slice(start, i + 1 - start)
+                    new = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
+                    yield pa.RecordBatch.from_arrays(part.columns[1:] + new, names=[f.name for f in out.fields])
+                    start, held, rows = i + 1, 0, []
+
+    done = sent.mapInArrow(run, out)
+    return done.toDF(*names, *fields)

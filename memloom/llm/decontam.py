@@ -35,16 +35,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda x: x != "")
 
 
-def shingles(tokens: str) -> Column:
-    """Hashes of all runs of five words of the column; the whole sequence if shorter, none if empty."""
-    t = F.col(tokens)
-    runs = F.transform(
-        F.slice(t, F.lit(1), F.greatest(F.size(t) - (WIDTH - 1), F.lit(0))),
-        lambda x, i: F.xxhash64(x, *[F.get(t, i + k) for k in range(1, WIDTH)]),
-    )
-    return F.when(F.size(t) >= WIDTH, runs).when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def shingles(text: Column) -> Column:
+    """Hashes of all runs of five words of a text; the whole sequence if shorter, none if there are no words.
+
+    The words are bound to a lambda variable: as a column of an inner projection, the optimizer would
+    inline their split into the inner function and repeat it for every word.
+    """
+
+    def of(t: Column) -> Column:
+        runs = F.transform(
+            F.slice(t, F.lit(1), F.greatest(F.size(t) - (WIDTH - 1), F.lit(0))),
+            lambda x, i: F.xxhash64(x, *[F.get(t, i + k) for k in range(1, WIDTH)]),
+        )
+        whole = F.array(F.xxhash64(F.array_join(t, " ")))
+        return F.when(F.size(t) >= WIDTH, runs).when(F.size(t) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
 def _lanes(h: Column) -> list[Column]:
@@ -114,8 +120,7 @@ def contaminated(
     id is an id like others. Empty tables give no rows; other columns are not read.
     """
     items = (
-        benchmark.select(F.col(item_col).alias("dc_item"), words(F.col(item_text)).alias("dc_w"))
-        .select("dc_item", shingles("dc_w").alias("dc_own"))
+        benchmark.select(F.col(item_col).alias("dc_item"), shingles(F.col(item_text)).alias("dc_own"))
         .where(F.size("dc_own") > 0)
         .withColumn("dc_m", F.size("dc_own"))
     )
@@ -126,8 +131,7 @@ def contaminated(
 
     known = items.select("dc_m", F.posexplode("dc_own").alias("dc_ipos", "dc_h")).distinct()
     places = (
-        docs.select(F.col(id_col).alias("dc_id"), words(F.col(text_col)).alias("dc_w"))
-        .select("dc_id", shingles("dc_w").alias("dc_all"))
+        docs.select(F.col(id_col).alias("dc_id"), shingles(F.col(text_col)).alias("dc_all"))
         .select("dc_id", "dc_all", F.posexplode("dc_all").alias("dc_pos", "dc_h"))
     )
     if not small:  # the surroundings travel with each place: cut them before the shuffle

@@ -1,7 +1,9 @@
 """Hashed linear models: features of whole texts, and softmax regression with soft targets.
 
 Features are present or absent: each distinct word, lower-cased without the ASCII punctuation around
-it, and each distinct shape (the punctuation after a word, all-capital words, bare marks). Fitting
+it; each distinct shape (the punctuation after a word, all-capital words, bare marks); the first five
+letters of words; those of them that begin at least three words and one word in a hundred; and two
+levels of words that repeat the word before. Fitting
 takes a sample of at most ``MAX_SAMPLE`` rows (a documented bound, by hash order of the id); scoring
 covers all rows.
 """
@@ -20,8 +22,10 @@ from memloom.llm.common import map_texts
 from memloom.llm.textcore import WordCache, split_words
 
 BUCKETS = 1 << 18
-MAX_SAMPLE = 6000
+MAX_SAMPLE = 12_000
 MIN_DOCS = 3
+#: A bucket takes part if its rows' targets lie this many standard deviations off the mean of some class.
+LEAST_Z = 3.5
 PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
@@ -30,22 +34,33 @@ def _bucket(x: bytes) -> int:
 
 
 def word_features(word: bytes) -> int:
-    """Two buckets in one number: the bare word, and its shape."""
+    """Three buckets of 18 bits in one number: the bare word, its shape and its beginning."""
     bare = word.strip(PUNCTUATION)
     tail = word[len(word.rstrip(PUNCTUATION)) :]
     shape = b"\x00" + tail + (b"\x01" if len(bare) > 1 and bare.isupper() else b"") + (b"" if bare else b"\x02")
-    return _bucket(bare.lower()) << 32 | _bucket(shape)
+    low = bare.decode("utf-8", "replace").lower()
+    begins = b"\x03" + (low[:5].encode() if len(low) >= 5 else b"")
+    return _bucket(low.encode()) << 36 | _bucket(shape) << 18 | _bucket(begins)
 
 
 def featurizer():
     """A function from a text to (number of words, its distinct buckets)."""
     cache = WordCache(word_features)
+    low = np.uint64(BUCKETS - 1)
+    often = np.uint64(0x2F5A1)
 
     def features(raw):
         words = split_words(raw)
-        pairs = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)) if words else np.zeros(0, np.uint64)
-        pairs = np.unique(pairs)
-        return len(words), np.unique(np.concatenate([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)])).astype(np.int64)
+        if not words:
+            return 0, np.zeros(0, np.int64)
+        x = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        again = float((x[1:] == x[:-1]).mean()) if len(x) > 1 else 0.0
+        x, times = np.unique(x, return_counts=True)
+        begins, at = np.unique(x & low, return_inverse=True)
+        much = np.bincount(at, weights=times) >= max(3, 0.01 * len(words))
+        both = [x >> np.uint64(36), x >> np.uint64(18) & low, begins, begins[much] ^ often]
+        both.append(np.array([_bucket(b"\x04"), _bucket(b"\x05")], np.uint64)[: (again >= 0.05) + (again >= 0.3)])
+        return len(words), np.unique(np.concatenate(both)).astype(np.int64)
 
     return features
 
@@ -110,15 +125,23 @@ def _sums(sample: Sample, weights: np.ndarray) -> np.ndarray:
     return total[sample.ends] - total[np.append(0, sample.ends[:-1])]
 
 
-def fit(sample: Sample, target: np.ndarray, extra: np.ndarray | None = None, steps: int = 60, rate: float = 0.15, ridge: float = 2e-4) -> LinearModel:
+def fit(sample: Sample, target: np.ndarray, extra: np.ndarray | None = None, steps: int = 60, rate: float = 0.15, ridge: float = 5e-4) -> LinearModel:
     """Softmax regression by full-batch Adam steps; targets are class probabilities (rows sum to 1).
 
-    Buckets of fewer than ``MIN_DOCS`` sampled rows keep weight zero. The result is deterministic.
+    Buckets of fewer than ``MIN_DOCS`` sampled rows, and those that no class depends on by ``LEAST_Z``, keep
+    weight zero: a few marked words must stand out of thousands of indifferent ones. Deterministic.
     """
     n, k = target.shape
     extra = np.zeros((n, 0)) if extra is None else extra
     freq = np.bincount(sample.flat, minlength=BUCKETS)
-    live = np.flatnonzero(freq >= MIN_DOCS)
+    mean = target.mean(0) if n else np.zeros(k)
+    of_row = np.repeat(np.arange(n), np.diff(np.append(0, sample.ends)))
+    z = np.zeros(BUCKETS)
+    for j in range(k):
+        seen = np.bincount(sample.flat, weights=target[of_row, j], minlength=BUCKETS)
+        spread = np.sqrt(freq * mean[j] * (1 - mean[j]) * np.maximum(1 - freq / max(n, 1), 1e-9)) + 1e-9
+        z = np.maximum(z, np.abs(seen - freq * mean[j]) / spread)
+    live = np.flatnonzero((freq >= MIN_DOCS) & (z >= LEAST_Z))
     place = np.full(BUCKETS, len(live))
     place[live] = np.arange(len(live))
     kept = place[sample.flat] < len(live)

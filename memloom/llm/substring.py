@@ -9,7 +9,10 @@ start at places p with ``p mod v`` in ``D``. For two equal long windows at i and
 k < v puts both i + k and j + k on cover places, so they share the anchor at that offset. Only
 about ``sqrt(v)/v`` of all places are hashed and shuffled. An anchor that occurs twice makes the
 long windows around it candidates; a candidate is extended to its whole ``min_words`` words and
-kept as repeated only if that whole sequence (95 hash bits) occurs twice.
+kept as repeated only if that whole sequence (88 hash bits) occurs twice.
+
+Exact copies of a whole text need no windows: all of theirs repeat. Per group of equal texts (128 hash
+bits) one document sends its windows, marked as repeated, so that other documents find them.
 
 Skew: each task folds equal keys of its own rows before the shuffle, so a passage that a third of
 the corpus shares reaches a reducer at most once per task and chunk. Copies are never paired.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import batches_of, longs, prepared, raw_texts, row_key
+from memloom.llm.common import batches_of, longs, prepared, raw_texts
 from memloom.llm.textcore import MULT_A, MULT_B, WindowHash, WordCache, mix, runs_to_mask, split_words, word_hash
 
 #: Windows held by a task before it folds and emits them.
@@ -122,8 +125,8 @@ def _candidates(n: int, anchors, min_words: int) -> np.ndarray:
 
 
 def _checks(window_b, h, at, min_words):
-    """31 more bits of a window's hash, from a second polynomial over remixed word hashes."""
-    return (window_b.at(window_b.prefix(mix(h)), at, min_words) >> np.uint64(33)).astype(np.int64)
+    """24 more bits of a window's hash, from a second polynomial over remixed word hashes."""
+    return (window_b.at(window_b.prefix(mix(h)), at, min_words) >> np.uint64(40)).astype(np.int64)
 
 
 def _windows(min_words: int):
@@ -134,19 +137,22 @@ def _windows(min_words: int):
         def flush():
             keys, checks, rows, places = (np.concatenate(x) for x in zip(*held))
             (keys, checks), rows, places, new, counts = _folded([keys, checks], rows, places)
-            known = np.repeat(counts > 1, counts)
-            places = places << 32 | checks << 1 | known
+            known = (np.repeat(counts > 1, counts) | (places & 1)).astype(np.int64)
+            places = places >> 1 << 32 | checks << 1 | known
             return batches_of(KEYED, [longs(keys[new]), rows[new], places[new]])  # the rest is known to repeat
 
         for batch in batches:
-            for row, raw, anchors in zip(
-                batch.column("wl_row").to_numpy(), raw_texts(batch, "wl_text"), batch.column("wl_anchors")
+            for row, raw, anchors, speaks in zip(
+                batch.column("wl_row").to_numpy(), raw_texts(batch, "wl_text"), batch.column("wl_anchors"), batch.column("wl_speaks").to_pylist()
             ):
+                if speaks is False:  # a copy of a document that sends its windows
+                    continue
                 _, h = _hashes(raw, cache)
                 at = _candidates(len(h), anchors.values.to_numpy(), min_words)
                 if len(at):
                     key = wa.at(wa.prefix(h), at, min_words)
-                    held.append((key, _checks(wb, h, at, min_words), np.full(len(at), row, np.int64), at))
+                    known = np.full(len(at), bool(speaks))
+                    held.append((key, _checks(wb, h, at, min_words), np.full(len(at), row, np.int64), at << 1 | known))
                     size += len(at)
                     if size >= CHUNK:
                         yield from flush()
@@ -173,7 +179,9 @@ def _clean(min_words: int):
                 words = split_words(raw)
                 anchors, unique = batch.column("wl_anchors")[i], batch.column("wl_unique")[i]
                 at = np.zeros(0, np.int64)
-                if anchors.is_valid and len(words) >= min_words:
+                if batch.column("wl_speaks")[i].is_valid:
+                    at = np.arange(max(0, len(words) - min_words + 1))
+                elif anchors.is_valid and len(words) >= min_words:
                     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
                     at = _candidates(len(words), anchors.values.to_numpy(), min_words)
                     if unique.is_valid and len(at):
@@ -206,8 +214,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, id_col: str = "doc_id"
     several texts under one id are separate documents. An empty table gives no rows; other columns
     are not read. Ids are integers.
     """
+    # The row key: id and 12 bits of the text's hash. It packs better than a hash of both. Texts of one id that
+    # share those bits only share candidates: windows are told apart by their check bits, copies by a whole hash.
+    some = F.xxhash64(text_col, F.col(text_col).isNull(), F.col(id_col).isNull())
+    place = F.shiftleft(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), 12).bitwiseXOR(some.bitwiseAND(F.lit(4095)))
     base = prepared(docs, id_col, text_col).select(
-        row_key(id_col, text_col).alias("wl_row"), F.col(id_col).cast("long").alias("wl_id"), F.col(text_col).alias("wl_text")
+        place.alias("wl_row"), F.col(id_col).cast("long").alias("wl_id"), F.col(text_col).alias("wl_text")
     )
     keyed = "wl_key long, wl_row long, wl_place long"
     anchors = base.select("wl_row", "wl_text").mapInArrow(_anchors(min_words), keyed)
@@ -217,8 +229,23 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, id_col: str = "doc_id"
         .groupBy("wl_row")
         .agg(F.collect_list(F.shiftright("wl_place", 1)).alias("wl_anchors"))
     )
-    windows = base.join(repeated, "wl_row").mapInArrow(_windows(min_words), keyed)
-    check = F.shiftright("wl_place", 1).bitwiseAND(F.lit((1 << 31) - 1))
+    # Equal texts: (row key, whether it is the one that sends windows).
+    same = [F.xxhash64("wl_text").alias("wl_h1"), F.xxhash64(F.lit(1), F.col("wl_text")).alias("wl_h2")]
+    texts = base.where("wl_text is not null").select("wl_row", *same)
+    groups = texts.groupBy("wl_h1", "wl_h2").agg(F.count(F.lit(1)).alias("wl_n"), F.min("wl_row").alias("wl_speaker")).where("wl_n > 1")
+    copies = (
+        texts.join(groups, ["wl_h1", "wl_h2"])
+        .groupBy("wl_row", "wl_h1")
+        .agg(F.max(F.col("wl_row") == F.col("wl_speaker")).alias("wl_speaks"))
+        .withColumnRenamed("wl_row", "wl_of")
+    )
+    same_text = (F.col("wl_row") == F.col("wl_of")) & (F.xxhash64("wl_text") == F.col("wl_h1"))
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.join(copies, same_text, "left").drop("wl_of", "wl_h1")
+
+    windows = told(base.join(repeated, "wl_row")).mapInArrow(_windows(min_words), keyed)
+    check = F.shiftright("wl_place", 1).bitwiseAND(F.lit((1 << 24) - 1))
     unique = (
         windows.withColumn("wl_check", check)
         .withColumn("wl_n", F.count(F.lit(1)).over(Window.partitionBy("wl_key", "wl_check")))
@@ -226,5 +253,5 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, id_col: str = "doc_id"
         .groupBy("wl_row")
         .agg(F.collect_list("wl_place").alias("wl_unique"))
     )
-    cleaned = base.join(repeated, "wl_row", "left").join(unique, "wl_row", "left").mapInArrow(_clean(min_words), CLEANED)
+    cleaned = told(base.join(repeated, "wl_row", "left").join(unique, "wl_row", "left")).mapInArrow(_clean(min_words), CLEANED)
     return cleaned.withColumnRenamed("wl_id", id_col)

@@ -23,9 +23,15 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from memloom.plans import graph_queries, search_queries, text_queries  # noqa: F401  (they register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL

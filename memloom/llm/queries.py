@@ -37,7 +37,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_OP1 = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), x -> x <> ''), []) AS words,
+  SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> ''), []) AS words,
          row_number() OVER () AS rid
   FROM documents),
 s AS (SELECT rid, unnest(range(1, greatest(len(words) - 33, 1))) AS p FROM w WHERE len(words) >= 35),

@@ -253,7 +253,7 @@ def fixed_windows(text: str, most: int, count: Callable[[str], int] = count_toke
             cut = max((i + 1 for i, ch in enumerate(s[:room]) if ch.isspace() and i >= room - 200), default=room)
             out, now, used = [*out, *([now] if now.strip() else []), s[:cut]], "", 0
             s = s[cut:]
-        n = count(s) if s else 0
+        n = count(s) + 1 if s else 0  # counts of parts may each lose a rest
         if now and used + n > most:
             out, now, used = [*out, now], "", 0
         now, used = now + s, used + n

@@ -76,7 +76,7 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/CURRENT"
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(self._pointer(name)))

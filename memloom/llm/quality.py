@@ -38,28 +38,35 @@ def _vote(x: float, good: float, bad: float) -> int:
     return GOOD if x >= good else BAD if x <= bad else ABSTAIN
 
 
-LABELLERS = ("marks", "capitals", "word_length", "sentence_ends", "repeated_lines", "variety", "length", "emphasis")
+#: Each kind of fault is seen by two labellers or more.
+LABELLERS = ("marks", "odd_words", "capitals", "emphasis", "repeats", "variety", "repeated_lines", "sentence_ends", "word_length", "length")
+_PLAIN = b".,;:'\"-!?()"
 
 
 def votes(raw: bytes | None) -> list[int]:
     """The votes of all labellers on one text, in the order of ``LABELLERS``."""
     words = raw.split() if raw else []
     if not words:
-        return [ABSTAIN] * 6 + [BAD, ABSTAIN]
+        return [ABSTAIN] * 9 + [BAD]
     b = np.frombuffer(raw, np.uint8)
     solid = max(1, len(b) - int(_BLANK[b].sum()))
     letters = max(1, int(_LETTER[b].sum()))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n = len(words)
+    # Bare marks, and words that end in marks other than a sentence's or in two and more of those.
+    odd = sum(not (w[-1:].isalnum() or w[-1] > 127 or (w[-1] in _PLAIN and len(w) > 1 and w[-2:-1] != w[-1:])) for w in words)
+    again = sum(a == c for a, c in zip(words, words[1:]))
     return [
         _vote(int(_MARK[b].sum()) / solid, 0.02, 0.08),
+        _vote(odd / n, 0.1, 0.3),
         _vote(int(_UPPER[b].sum()) / letters, 0.15, 0.5),
-        _vote(abs(solid / n - 5.5), 2.5, 6.0),
-        _vote(sum(x.rstrip()[-1:] in b".!?" for x in lines) / len(lines), 0.6, 0.2),
-        _vote(1 - len(set(lines)) / len(lines), 0.2, 0.5) if len(lines) > 3 else ABSTAIN,
-        _vote(len(set(words)) / n, 0.3, 0.15) if n >= 50 else ABSTAIN,
-        _vote(n, 10, 3),
         _vote(raw.count(b"!!") / n, 0.02, 0.2),
+        _vote(again / n, 0.05, 0.2) if n >= 10 else ABSTAIN,
+        _vote(len(set(words)) / n, 0.3, 0.15) if n >= 50 else ABSTAIN,
+        _vote(1 - len(set(lines)) / len(lines), 0.2, 0.5) if len(lines) > 3 else ABSTAIN,
+        _vote(sum(x.rstrip()[-1:] in b".!?" for x in lines) / len(lines), 0.6, 0.2),
+        _vote(abs(solid / n - 5.5), 3.0, 6.0),
+        _vote(n, 3, 0),
     ]
 
 
@@ -73,7 +80,11 @@ def unpack(patterns: np.ndarray) -> np.ndarray:
 
 @dataclasses.dataclass(frozen=True)
 class WeakLabels:
-    """P(good), and P(vote | class) by labeller, class (bad, good) and vote (bad, abstain, good)."""
+    """P(good), and P(vote | class, a vote) by labeller, class (bad, good) and vote (bad, abstain, good).
+
+    Abstaining says nothing: its entries are one. Else short texts, on which many abstain, would become the
+    hidden class.
+    """
 
     prior: float
     table: np.ndarray
@@ -92,17 +103,23 @@ class WeakLabels:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> WeakLabels:
-    """Class-conditional vote tables from pattern counts, started from the majority of given votes."""
+    """Class-conditional vote tables from pattern counts.
+
+    The start doubts a document at the first bad vote: labellers look for different faults, so a bad text is
+    good to most of them.
+    """
     v = unpack(np.asarray(patterns, np.int64))
-    lean = (v - 1).sum(1)
-    good = np.clip(0.5 + 0.2 * lean, 0.05, 0.95)
+    good = np.clip(0.95 - 0.45 * (v == BAD).sum(1) - 0.4 * ~(v == GOOD).any(1), 0.05, 0.95)
     onehot = (v[:, :, None] == np.arange(3)).astype(float)
-    model = WeakLabels(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
+    model = WeakLabels(0.5, np.ones((len(LABELLERS), 2, 3)))
     for _ in range(rounds if len(v) else 0):
         w = np.stack([counts * (1 - good), counts * good], axis=1)
         table = np.einsum("pc,plv->lcv", w, onehot) + 1.0
+        table[:, :, ABSTAIN] = 0
         prior = (w[:, 1].sum() + 1) / (w.sum() + 2)
-        model = WeakLabels(float(prior), table / table.sum(2, keepdims=True))
+        table = table / table.sum(2, keepdims=True)
+        table[:, :, ABSTAIN] = 1
+        model = WeakLabels(float(prior), table)
         good = model.posterior(patterns)
     return model
 

@@ -134,10 +134,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: posterior of the weak labels, the scorer's probability, and whether to keep it."""
+    """Per document: posterior of the weak labels, the scorer's probability, and whether to keep it (a quarter or more)."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_quality(docs, fit_quality(docs))
-    return out.select("doc_id", "p_weak", "quality", (F.col("quality") >= 0.5).alias("keep"))
+    return out.select("doc_id", "p_weak", "quality", (F.col("quality") >= 0.25).alias("keep"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

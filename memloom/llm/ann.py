@@ -24,9 +24,9 @@ from memloom.llm.common import materialize, prepared
 
 SHARD = 12_000
 SPARSER = 16
-DEGREE = 24
-POOL = 64
-BEAM = 160
+DEGREE = 32
+POOL = 96
+BEAM = 200
 QUERY_BLOCK = 8_192
 
 

@@ -337,3 +337,29 @@ def kebab_path(text: Column, words: int = 5) -> Column:
     """Path from the first words of three letters or more of a topic."""
     parts = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9 ]", ""), " "), lambda w: F.length(w) > 2)
     return F.array_join(F.slice(parts, 1, words), "-")
+
+
+def parse_symbolic(summary: Column) -> Column:
+    """Parts of a symbolic summary as struct(wing, room, date, stem, entities, topics, quote, emotions, flags); the inverse of ``symbolic``."""
+    lines = F.split(summary, "\n")
+    head = F.when(F.size(lines) > 1, F.split(lines[0], r"\|"))
+    body = F.element_at(lines, -1)
+    quote = F.regexp_extract(body, r'\|"(.*)"(?:\||$)', 1)
+    plain = F.split(F.regexp_replace(body, r'\|".*"(?=\||$)', ""), r"\|")
+    rest = F.slice(plain, 3, 2)
+
+    def part(pattern: str) -> Column:
+        return F.split(F.coalesce(F.get(F.filter(rest, lambda p: p.rlike(pattern)), F.lit(0)), F.lit("")), r"\+")
+
+    def listed(x: Column, nothing: str) -> Column:
+        return F.filter(x, lambda e: (e != "") & (e != nothing))
+
+    named = [F.when(head.isNotNull() & (F.get(head, F.lit(i)) != "?"), F.get(head, F.lit(i))).alias(n) for i, n in enumerate(("wing", "room", "date", "stem"))]
+    return F.struct(
+        *named,
+        listed(F.split(F.regexp_replace(plain[0], "^0:", ""), r"\+"), "???").alias("entities"),
+        listed(F.split(F.get(plain, F.lit(1)), "_"), "misc").alias("topics"),
+        quote.alias("quote"),
+        listed(part(r"^[a-z]+(?:\+[a-z]+)*$"), "").alias("emotions"),
+        listed(part(r"^[A-Z]+(?:\+[A-Z]+)*$"), "").alias("flags"),
+    )

@@ -279,7 +279,7 @@ def wiki(spark, d):
 
     links = F.concat(F.lit("[["), page(i - i % 5), F.lit("]] and [["), page(i + 1), F.lit("]]"))
     return p.select(
-        page(i).alias("path"), F.concat(F.lit("Title "), i.cast("string")).alias("title"), F.concat(links, F.lit(" ## "), F.left("html", F.lit(200))).alias("content"),
+        page(i).alias("path"), F.concat(F.lit("Title "), i.cast("string")).alias("title"), F.concat(links, F.lit(" ## "), "html").alias("content"),
         F.array(i.cast("string"), (i + 900).cast("string")).alias("citations"), (i % 10 / 10.0).alias("quality_score"),
     )
 
@@ -306,10 +306,13 @@ def wiki_lint_counts(spark, d):
 
 @query("pending_updates")
 def pending_updates(spark, d):
-    """Review queue: embeddings near a page's vector."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", "vec_id")
-    pages = e.where("vec_id < 40").select(F.concat(F.lit("topic/page-"), "id").alias("path"), "embedding")
-    return W.pending(e.where("vec_id >= 40"), pages, threshold=0.4)
+    """Review queue: embeddings near a page's vector; the medoid of each label stands for a page."""
+    from memloom.operators.cluster import medoids
+
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster_id"))
+    chosen = medoids(e).select("id")
+    pages = e.join(chosen, "id", "left_semi").select(F.concat(F.lit("topic/page-"), F.col("id").cast("string")).alias("path"), "embedding")
+    return W.pending(e.join(chosen, "id", "left_anti").select(F.col("id").cast("string").alias("id"), "embedding"), pages, threshold=0.3)
 
 
 # Calibration ------------------------------------------------------------------------------------

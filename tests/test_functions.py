@@ -70,3 +70,12 @@ def test_snippet_and_quality(spark):
     assert one(spark, "a" * 200 + "needle" + "b" * 300, lambda c: T.snippet(c, "needle")) == "…" + "a" * 80 + "needle" + "b" * 120
     assert one(spark, "[[a/b]] text\n## h", lambda c: T.wiki_quality(c, F.lit(1), F.lit("x/y"))) == pytest.approx(0.3 * 4 / 150 + 0.7, abs=0.01)
     assert [one(spark, x, T.is_numeric) for x in ("1.5", "-3e5", "abc", "v1")] == [True, True, False, False]
+
+
+def test_summary_round_trip(spark):
+    text = "We decided to use DuckDB for Search. It was worried about the index size because of memory."
+    df = spark.createDataFrame([(text,)], "x string").select(T.symbolic(F.col("x"), F.lit("w"), F.lit("r"), None, F.lit("file")).alias("s"))
+    r = df.select(T.parse_symbolic(F.col("s")).alias("p")).first()["p"]
+    assert (r["wing"], r["room"], r["date"], r["stem"]) == ("w", "r", None, "file")
+    assert r["entities"] == ["DUC", "SEA"] and r["emotions"] == ["determ", "anx"] and r["flags"] == ["DECISION", "TECHNICAL"]
+    assert r["quote"].startswith("It was worried") or r["quote"].startswith("We decided")

@@ -18,7 +18,7 @@ from memloom.sources import ingest as I
 from memloom.sources.store import Store, insert_absent
 
 
-class Palace:
+class MemoryStore:
     """Memories under a root folder. Every read is a DataFrame; every write is a new snapshot."""
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, config: Config | None = None):

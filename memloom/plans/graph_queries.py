@@ -237,8 +237,8 @@ def distinct_rooms(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.countDistinct("source").alias("rooms"), F.count(F.lit(1)).alias("n"))
 
 
-@query("palace_stats", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
-def palace_stats(spark, d):
+@query("table_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+def table_counts(spark, d):
     out = None
     for t in ("documents", "pages", "events", "embeddings"):
         one = table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")

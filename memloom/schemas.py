@@ -23,7 +23,7 @@ TABLES = {
     "wiki_log": "id string, ts timestamp, path string, action string, agent string, note string",
     "wiki_backlinks": "source string, target string",
     "wiki_pending_updates": "id string, wing string, page_path string, drawer_id string, similarity double, queued_at timestamp, resolved_at timestamp, resolution string",
-    "palace_activity": "id string, ts timestamp, wing string, action string, target string, agent string, summary string",
+    "activity_log": "id string, ts timestamp, wing string, action string, target string, agent string, summary string",
     "room_classification_log": "id string, path string, room string, classified_at timestamp",
     "episodes": "id string, wing string, goal string, outcome string, next_time string, drawer_refs string, skill_refs string, embedding array<float>, created_at timestamp",
     "skills": "id string, wing string, name string, description string, folder_path string, skill_md_mtime bigint, embedding array<float>, success_count int, fail_count int",

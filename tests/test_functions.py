@@ -12,7 +12,7 @@ def one(spark, value, f):
 @pytest.mark.parametrize(
     "name, kind",
     [
-        ("1.5", "concept"), ("v2.1", "concept"), (".razor", "tool"), ("src/app/main.py", "tool"), ("docker", "tool"), ("Nowaste Logistics AB", "organization"),
+        ("1.5", "concept"), ("v2.1", "concept"), (".razor", "tool"), ("src/app/main.py", "tool"), ("docker", "tool"), ("Acme Logistics AB", "organization"),
         ("google", "organization"), ("order-db", "tool"), ("OrderDB", "tool"), ("kaos", "concept"), ("System.Text.Json", "tool"), ("KnowledgeGraph", "tool"),
         ("MAX_SIZE", "tool"), ("user42", "person"), ("user-service", "project"), ("Jonas Andersson", "person"), ("Jan von Sydow", "person"),
         ("billing platform", "project"), ("", "concept"), (None, "concept"), ("love", "concept"),

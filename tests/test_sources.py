@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom import seams
-from memloom.api import Palace
+from memloom.api import MemoryStore
 from memloom.sources import ingest as I
 from memloom.sources import store as S
 from memloom.streaming import ingest as SI
@@ -96,8 +96,8 @@ def test_memories_round_trip(spark, tmp_path):
     assert (r["score"], r["author"], r["source"]) == (0.8, "imported", "success")
 
 
-def test_palace(spark, tmp_path):
-    p = Palace(spark, str(tmp_path / "palace"))
+def test_memory_store(spark, tmp_path):
+    p = MemoryStore(spark, str(tmp_path / "memories"))
     text = "We decided to keep the search index in memory because the latency budget is critical for every request we serve. "
     rows = [("w", "r", text + "alpha", None), ("w", "r", text * 2 + "bravo storage engine compaction", None), ("w", "r", "short", None)]
     out = p.add_memories(spark.createDataFrame(rows, "wing string, room string, content string, source string"))

@@ -13,6 +13,7 @@ from memloom.operators import memory as M
 from memloom.operators import retrieval as R
 from memloom.operators import wiki as W
 from memloom.schemas import TABLES
+from memloom.session import ship
 from memloom.seams import Embedder, HashingEmbedder
 from memloom.sources import ingest as I
 from memloom.sources.store import Store, insert_absent
@@ -22,6 +23,7 @@ class MemoryStore:
     """Memories under a root folder. Every read is a DataFrame; every write is a new snapshot."""
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, config: Config | None = None):
+        ship(spark)
         self.spark, self.store = spark, Store(spark, root)
         self.embedder, self.config = embedder or HashingEmbedder(), config or Config()
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from memloom.functions import fixed
 from memloom.functions import text as T
 from memloom.plans.registry import query
+from memloom.session import ship
 from memloom.sources import ingest as I
 
 
 def table(spark, d, name):
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

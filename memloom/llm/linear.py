@@ -2,7 +2,7 @@
 
 Features are present or absent: each distinct word, lower-cased without the ASCII punctuation around
 it; each distinct shape (the punctuation after a word, all-capital words, bare marks); the first five
-letters of words; those of them that begin at least three words and one word in a hundred; and two
+letters of words; those of them that begin at least three distinct words and one in a hundred; and two
 levels of words that repeat the word before. Fitting
 takes a sample of at most ``MAX_SAMPLE`` rows (a documented bound, by hash order of the id); scoring
 covers all rows.
@@ -11,6 +11,8 @@ covers all rows.
 from __future__ import annotations
 
 import dataclasses
+import itertools
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -36,30 +38,38 @@ def _bucket(x: bytes) -> int:
 def word_features(word: bytes) -> int:
     """Three buckets of 18 bits in one number: the bare word, its shape and its beginning."""
     bare = word.strip(PUNCTUATION)
-    tail = word[len(word.rstrip(PUNCTUATION)) :]
-    shape = b"\x00" + tail + (b"\x01" if len(bare) > 1 and bare.isupper() else b"") + (b"" if bare else b"\x02")
-    low = bare.decode("utf-8", "replace").lower()
-    begins = b"\x03" + (low[:5].encode() if len(low) >= 5 else b"")
-    return _bucket(low.encode()) << 36 | _bucket(shape) << 18 | _bucket(begins)
+    if word.isascii():
+        low = bare.lower()
+        begins = low[:5] if len(low) >= 5 else b""
+    else:
+        text = bare.decode("utf-8", "replace").lower()
+        low, begins = text.encode(), text[:5].encode() if len(text) >= 5 else b""
+    tail = word[len(word.rstrip(PUNCTUATION)) :] if len(bare) < len(word) else b""
+    shape = tail + (b"\x01" if len(bare) > 1 and bare.isupper() else b"") + (b"" if bare else b"\x02")
+    return _bucket(low) << 36 | _SHAPES[shape] << 18 | _bucket(b"\x03" + begins)
+
+
+_SHAPES = WordCache(lambda shape: _bucket(b"\x00" + shape), 20_000)
 
 
 def featurizer():
     """A function from a text to (number of words, its distinct buckets)."""
-    cache = WordCache(word_features)
+    cache = WordCache(word_features, 500_000)
     low = np.uint64(BUCKETS - 1)
     often = np.uint64(0x2F5A1)
+    repeats = np.array([_bucket(b"\x04"), _bucket(b"\x05")], np.uint64)
 
     def features(raw):
         words = split_words(raw)
         if not words:
             return 0, np.zeros(0, np.int64)
-        x = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        again = float((x[1:] == x[:-1]).mean()) if len(x) > 1 else 0.0
-        x, times = np.unique(x, return_counts=True)
-        begins, at = np.unique(x & low, return_inverse=True)
-        much = np.bincount(at, weights=times) >= max(3, 0.01 * len(words))
-        both = [x >> np.uint64(36), x >> np.uint64(18) & low, begins, begins[much] ^ often]
-        both.append(np.array([_bucket(b"\x04"), _bucket(b"\x05")], np.uint64)[: (again >= 0.05) + (again >= 0.3)])
+        again = sum(map(operator.eq, words, itertools.islice(words, 1, None))) / len(words)
+        distinct = set(words)
+        x = np.fromiter(map(cache.__getitem__, distinct), np.uint64, len(distinct))
+        begins, times = np.unique(x & low, return_counts=True)
+        much = begins[times >= max(3, 0.01 * len(distinct))] ^ often
+        both = [x >> np.uint64(36), x >> np.uint64(18) & low, begins, much]
+        both.append(repeats[: (again >= 0.05) + (again >= 0.3)])
         return len(words), np.unique(np.concatenate(both)).astype(np.int64)
 
     return features

@@ -5,6 +5,9 @@ document) where the rolling hash 31 * previous + own is divisible by ``MEAN_LINE
 chunks too. Boundaries depend on two lines only, so they move along with the text. A chunk of two or
 more lines that occurs more than once in the corpus stays at its first place, by id and line, and goes
 elsewhere, after its bytes were compared with those of the chunk that stays.
+
+A copied passage that holds no whole chunk is missed by this rule. With ``runs`` the units are instead all windows of
+``RUN`` lines, overlapping: a line goes exactly if it lies in a run of two or more lines that stands at an earlier place.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from memloom.llm.common import prepared, raw_texts, row_key
 
 MEAN_LINES = 4
+#: Lines of a window; longer runs are chains of windows.
+RUN = 2
 CHUNKS = pa.schema([(n, pa.int64()) for n in ("ln_row", "ln_id", "ln_first", "ln_count", "ln_d1", "ln_d2")])
 
 
@@ -40,19 +45,26 @@ def chunk_ends(lines: list[bytes], mean: int = MEAN_LINES) -> list[int]:
     return ends if ends and ends[-1] == len(lines) else [*ends, len(lines)]
 
 
-def _chunks(mean: int):
+def spans_of(lines: list[bytes], mean: int, runs: bool) -> list[tuple[int, int]]:
+    """(first, count) of the units of a document that are looked up: chunks, or windows that hold more than blanks."""
+    if runs:
+        filled = [bool(x.strip()) for x in lines]
+        return [(i, RUN) for i in range(len(lines) - RUN + 1) if any(filled[i : i + RUN])]
+    ends = chunk_ends(lines, mean)
+    return [(a, b - a) for a, b in zip([0, *ends], ends) if b - a > 1]
+
+
+def _chunks(mean: int, runs: bool):
     def run(batches):
         for batch in batches:
             rows = []
             for row, i, raw in zip(batch.column("ln_row").to_pylist(), batch.column("ln_id").to_pylist(), raw_texts(batch, "ln_text")):
                 if raw is None:
                     continue
-                lines, first = raw.split(b"\n"), 0
-                for end in chunk_ends(lines, mean):
-                    if end - first > 1:
-                        d = xxhash.xxh3_128_intdigest(b"\n".join(lines[first:end]))
-                        rows.append((row, i, first, end - first, d >> 64, d & ((1 << 64) - 1)))
-                    first = end
+                lines = raw.split(b"\n")
+                for first, count in spans_of(lines, mean, runs):
+                    d = xxhash.xxh3_128_intdigest(b"\n".join(lines[first : first + count]))
+                    rows.append((row, i, first, count, d >> 64, d & ((1 << 64) - 1)))
             if rows:
                 cols = list(zip(*rows))
                 arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[4:]]
@@ -106,7 +118,7 @@ def _clean(names):
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_LINES, keep: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_LINES, keep: tuple[str, ...] = (), runs: bool = False
 ) -> DataFrame:
     """One row per document: id, the columns ``keep``, n_lines, n_removed, kept_text.
 
@@ -121,7 +133,7 @@ def line_dedup(
         *[F.col(k).alias(f"ln_k{i}") for i, k in enumerate(keep)],
     )
     long_rows = ", ".join(f"{f.name} long" for f in CHUNKS)
-    chunks = base.select("ln_row", "ln_id", "ln_text").mapInArrow(_chunks(mean), long_rows)
+    chunks = base.select("ln_row", "ln_id", "ln_text").mapInArrow(_chunks(mean, runs), long_rows)
     place = F.struct(F.coalesce("ln_id", F.lit(-(1 << 63))).alias("i"), F.col("ln_first").alias("f"), F.col("ln_row").alias("r"))
     groups = (
         chunks.groupBy("ln_d1", "ln_d2")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memloom.llm.ann import nearest
 from memloom.llm.decontam import contaminated
 from memloom.llm.langid import held_out, identify_languages, learn_languages
-from memloom.llm.licenses import KNOWN, SPELLINGS, known_licenses, license_scan
+from memloom.llm.licenses import KNOWN, SPELLINGS, known_digests, known_licenses, license_scan
 from memloom.llm.lines import line_dedup
 from memloom.llm.mixing import mix_to_targets
 from memloom.llm.quality import fit_quality, score_quality
@@ -57,7 +57,7 @@ FROM w LEFT JOIN kept USING (rid)
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: digest of the canonical text, and the licence that it is."""
-    return license_scan(_read(spark, sf_dir, "documents"), known_licenses(spark))
+    return license_scan(_read(spark, sf_dir, "documents"), known_licenses(spark), digests=known_digests(spark))
 
 
 def _quoted(x: str) -> str:

@@ -117,7 +117,7 @@ def contaminated(
 
     Null texts, and items or documents without words, match nothing. An item of fewer than five words
     matches only a document that is those words and nothing else. Repeated rows count once per id; a null
-    id is an id like others. Empty tables give no rows; other columns are not read.
+    id is an id like others. Different texts of one id are each searched. Empty tables give no rows; other columns are not read.
     """
     items = (
         benchmark.select(F.col(item_col).alias("dc_item"), shingles(F.col(item_text)).alias("dc_own"))
@@ -131,13 +131,13 @@ def contaminated(
 
     known = items.select("dc_m", F.posexplode("dc_own").alias("dc_ipos", "dc_h")).distinct()
     places = (
-        docs.select(F.col(id_col).alias("dc_id"), shingles(F.col(text_col)).alias("dc_all"))
-        .select("dc_id", "dc_all", F.posexplode("dc_all").alias("dc_pos", "dc_h"))
+        docs.select(F.col(id_col).alias("dc_id"), F.xxhash64(F.col(text_col)).alias("dc_text"), shingles(F.col(text_col)).alias("dc_all"))
+        .select("dc_id", "dc_text", "dc_all", F.posexplode("dc_all").alias("dc_pos", "dc_h"))
     )
     if not small:  # the surroundings travel with each place: cut them before the shuffle
         longest = items.agg(F.max("dc_m")).first()[0] or 0
         start = F.greatest(F.col("dc_pos") - 2 * longest, F.lit(0))
-        places = places.select("dc_id", "dc_pos", "dc_h", F.slice("dc_all", start + 1, F.lit(4 * longest)).alias("dc_all"), start.alias("dc_base"))
+        places = places.select("dc_id", "dc_text", "dc_pos", "dc_h", F.slice("dc_all", start + 1, F.lit(4 * longest)).alias("dc_all"), start.alias("dc_base"))
     else:
         places = places.withColumn("dc_base", F.lit(0))
     # Alignment a: where the item would begin. Its windows begin at a - m + 1 .. a + m - 1.
@@ -145,12 +145,12 @@ def contaminated(
     low = F.greatest(a - m + 1, F.lit(0))
     aligned = (
         places.join(sized(known), "dc_h")
-        .select("dc_id", "dc_m", a.alias("dc_a"), low.alias("dc_low"), F.slice("dc_all", low - F.col("dc_base") + 1, a + 2 * m - low - 1).alias("dc_ctx"))
-        .groupBy("dc_id", "dc_m", "dc_a", "dc_low")
+        .select("dc_id", "dc_text", "dc_m", a.alias("dc_a"), low.alias("dc_low"), F.slice("dc_all", low - F.col("dc_base") + 1, a + 2 * m - low - 1).alias("dc_ctx"))
+        .groupBy("dc_id", "dc_text", "dc_m", "dc_a", "dc_low")
         .agg(F.max("dc_ctx").alias("dc_ctx"))
         .where(F.size("dc_ctx") >= F.col("dc_m"))
     )
-    aligned = materialize(aligned.withColumn("dc_row", F.xxhash64("dc_id", "dc_m", "dc_a")))
+    aligned = materialize(aligned.withColumn("dc_row", F.xxhash64("dc_id", "dc_text", "dc_m", "dc_a")))
     windows = aligned.select(
         "dc_id", "dc_row", "dc_m", "dc_low", "dc_ctx", F.explode(F.sequence(F.lit(0), F.size("dc_ctx") - F.col("dc_m"))).alias("dc_off")
     )

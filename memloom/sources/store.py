@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
-import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Used only where the session names no shared folder and all tasks run on this machine (tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/memloom"
+_folders: set[str] = set()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share. A cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_SHARED
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def _discarded(spark: SparkSession, folder: str) -> None:
+    """Delete this application's written tables when the driver's Python ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            fs.delete(path, True)
+
+    atexit.register(drop)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a table in the shared folder of ``spark.checkpoint.dir``."""
+    """Cut the lineage: write ``df`` once into the shared folder and read it back.
+
+    A lost executor costs no recomputation of what is written here.
+    """
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
-    path = f"{folder}/steps/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        _discarded(spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,44 +98,74 @@ def delete(table: DataFrame, ids: DataFrame, key: str = "id", cascade: dict[str,
 
 
 class Store:
-    """Named tables under a root; a pointer file names the snapshot that readers see."""
+    """Named tables under a root. A table is a list of file folders, kept in numbered manifests; readers see the highest number.
+
+    A writer creates the next number without overwriting: of two writers one fails and tries again, and a crash
+    leaves the last manifest in place. Appending adds a folder, it rewrites nothing.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.lock = spark, root.rstrip("/"), threading.Lock()
+        self.spark, self.root = spark, root.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _manifests(self, name: str) -> list[int]:
+        folder = self._path(f"{self.root}/{name}/manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(folder))
+        return sorted(int(n) for n in names if n.isdigit())
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self._pointer(name)))
+        return bool(self._manifests(name))
 
     def current(self, name: str) -> dict:
-        rows = self.spark.read.text(self._pointer(name)).collect()  # one short line
-        return json.loads(rows[0][0])
+        """The highest manifest: its number, schema version and folders."""
+        number = self._manifests(name)[-1]
+        rows = self.spark.read.text(f"{self.root}/{name}/manifests/{number:012d}").collect()  # one line
+        return json.loads(rows[0][0]) | {"number": number}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self.current(name)['snapshot']}")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{x}" for x in self.current(name)["folders"]])
+
+    def _put(self, name: str, number: int, folders: list[str], version: int) -> bool:
+        """Create a manifest; False if another writer took the number."""
+        target = self._path(f"{self.root}/{name}/manifests/{number:012d}")
+        draft = self._path(f"{self.root}/{name}/drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps({"folders": folders, "schema_version": version}).encode()))
+        out.close()
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.exists(target):
+            # Hadoop's rename does not replace a file that is there.
+            if self._fs.rename(draft, target):
+                return True
+        self._fs.delete(draft, False)
+        return False
+
+    def _written(self, name: str, df: DataFrame, partition: list[str] | None) -> str:
+        folder = uuid.uuid4().hex
+        writer = df.write.partitionBy(*partition) if partition else df.write
+        writer.parquet(f"{self.root}/{name}/{folder}")
+        return folder
 
     def write(self, name: str, df: DataFrame, partition: list[str] | None = None, version: int = 6) -> None:
-        """A new snapshot becomes visible when its pointer is renamed into place."""
-        with self.lock:
-            snapshot = uuid.uuid4().hex
-            writer = df.write.partitionBy(*partition) if partition else df.write
-            writer.parquet(f"{self.root}/{name}/{snapshot}")
-            text = json.dumps({"snapshot": snapshot, "schema_version": version})
-            draft = self._path(f"{self._pointer(name)}.{snapshot}")
-            out = self._fs.create(draft, True)
-            out.write(bytearray(text.encode()))
-            out.close()
-            self._fs.delete(self._path(self._pointer(name)), False)
-            self._fs.rename(draft, self._path(self._pointer(name)))
-
-    def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df) if self.exists(name) else df)
+        """Replace the table. Fails if another writer changed it meanwhile: ``df`` may derive from what it was."""
+        number = (self._manifests(name) or [0])[-1] + 1
+        folder = self._written(name, df, partition)
+        if not self._put(name, number, [folder], version):
+            raise RuntimeError(f"{name} was changed by another writer")
+
+    def append(self, name: str, df: DataFrame, version: int = 6, attempts: int = 20) -> None:
+        """Add rows. Independent of what is there, so a lost race is tried again."""
+        folder = self._written(name, df, None)
+        for _ in range(attempts):
+            have = self.current(name) if self.exists(name) else {"number": 0, "folders": []}
+            if self._put(name, have["number"] + 1, [*have["folders"], folder], version):
+                return
+        raise RuntimeError(f"{name}: {attempts} attempts to append were overtaken")
 
 
 def verify_schema(df: DataFrame, expected: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
-from memloom.sources.store import Store, insert_absent
+from memloom.sources.store import Store
 
 
 def stream_json(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -23,7 +23,8 @@ def ingest_into(store: Store, name: str, rows: DataFrame, checkpoint: str, water
     fresh = drawers_of(rows).withWatermark("mined_at", watermark).dropDuplicatesWithinWatermark(["id"])
 
     def add(batch: DataFrame, _: int) -> None:
-        store.write(name, insert_absent(store.read(name), batch) if store.exists(name) else batch.dropDuplicates(["id"]))
+        new = batch.dropDuplicates(["id"])
+        store.append(name, new.join(store.read(name).select("id"), "id", "left_anti").select(*batch.columns) if store.exists(name) else new)
 
     return fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

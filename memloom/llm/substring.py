@@ -9,28 +9,46 @@ start at places p with ``p mod v`` in ``D``. For two equal long windows at i and
 k < v puts both i + k and j + k on cover places, so they share the anchor at that offset. Only
 about ``sqrt(v)/v`` of all places are hashed and shuffled. An anchor that occurs twice makes the
 long windows around it candidates; a candidate is extended to its whole ``min_words`` words and
-kept as repeated only if that whole sequence (88 hash bits) occurs twice.
+kept as repeated only if that whole sequence (80 hash bits, and those of its bucket) occurs twice.
 
-Exact copies of a whole text need no windows: all of theirs repeat. Per group of equal texts (128 hash
-bits) one document sends its windows, marked as repeated, so that other documents find them.
+Exact copies of a whole text need no windows: all of theirs repeat. Per group of equal texts (80 hash
+bits and those of the bucket) one document sends its windows, marked as repeated, so that others find them.
 
-Skew: each task folds equal keys of its own rows before the shuffle, so a passage that a third of
-the corpus shares reaches a reducer at most once per task and chunk. Copies are never paired.
+Skew: each task folds equal keys of its own rows before the shuffle, so a passage or a text that a third
+of the corpus shares reaches a reducer at most once per task and chunk. Copies are never paired or joined.
+
+What travels: a task cuts its records by bucket of their key and sends one compressed block of columns a
+bucket. There are as many buckets as keep one at about ``BUCKET_BYTES`` of text; what returns, which is less,
+goes by bucket of its row, of which there are fewer. Texts are shuffled once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import batches_of, longs, prepared, raw_texts
+from memloom.llm.common import prepared, raw_texts
 from memloom.llm.textcore import MULT_A, MULT_B, WindowHash, WordCache, mix, runs_to_mask, split_words, word_hash
 
 #: Windows held by a task before it folds and emits them.
 CHUNK = 600_000
-KEYED = pa.schema([("wl_key", pa.int64()), ("wl_row", pa.int64()), ("wl_place", pa.int64())])
+#: Bytes of text whose records make a bucket.
+BUCKET_BYTES = 48_000_000
+DEALT = pa.schema([("wl_bucket", pa.int32()), ("wl_kind", pa.int8()), ("wl_block", pa.binary())])
+DEALT_SQL = "wl_bucket int, wl_kind byte, wl_block binary"
+#: Bytes of each column of a block; negative: of its differences.
+ANCHOR, WINDOW, MARK, OWN = (6, -8, 2, -4), (8, 2, -8, 2, -4), (-8, 2, -4), (2, -4)
+#: Kinds of blocks: anchors, digests of whole texts, and places that are known to repeat.
+ANCHORS, TEXTS, KNOWN = 0, 1, 2
+#: Places that say of a whole text: it is a copy, and the one that sends the windows of its group.
+COPY, SPEAKER = np.uint64(1 << 31), np.uint64((1 << 31) + 1)
+ONE = np.uint64(1)
+ZSTD = pa.Codec("zstd")
 
 
 def difference_cover(v: int) -> tuple[int, ...]:
@@ -61,62 +79,180 @@ def cover_for(min_words: int) -> tuple[int, int, tuple[int, ...]]:
     return min_words - v + 1, v, difference_cover(v)
 
 
-def _hashes(raw, cache):
-    words = split_words(raw)
-    return words, np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def pack(columns: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
+    """Columns of unsigned numbers as one compressed block: the low bytes of each, byte by byte."""
+    planes = []
+    for x, w in zip(columns, widths):
+        x = np.diff(x, prepend=np.uint64(0)) if w < 0 else x
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, : abs(w)].T).tobytes())
+    return len(columns[0]).to_bytes(4, "little") + ZSTD.compress(b"".join(planes), asbytes=True)
+
+
+def unpack(block: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(block[:4], "little"), 0, []
+    raw = np.frombuffer(ZSTD.decompress(block[4:], n * sum(map(abs, widths)), asbytes=True), np.uint8)
+    for w in widths:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, : abs(w)] = raw[at : at + n * abs(w)].reshape(abs(w), n).T
+        at, x = at + n * abs(w), x.view(np.uint64).ravel()
+        out.append(np.cumsum(x, dtype=np.uint64) & np.uint64((1 << 8 * -w) - 1) if w < 0 else x)
+    return out
+
+
+def _gathered(table: pa.Table, kind: int, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of all blocks of a kind."""
+    kinds = table.column("wl_kind").to_numpy()
+    parts = [unpack(b.as_py(), widths) for b, k in zip(table.column("wl_block"), kinds) if k == kind]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.uint64) for _ in widths]
 
 
-def _folded(keys, rows, places):
-    """Order by key; the first of each group, and the size of its group."""
+def _dealt(kind: int, by: np.ndarray, buckets: int, columns: list[np.ndarray], widths: tuple[int, ...]):
+    """(bucket, kind, block) rows; the order of the columns is kept within a bucket."""
+    b = (by % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    b, columns = b[order], [c[order] for c in columns]
+    at = np.flatnonzero(np.diff(b, prepend=-1, append=-1)) if len(b) else np.zeros(0, np.int64)
+    return [(int(b[i]), kind, pack([c[i:j] for c in columns], widths)) for i, j in zip(at, at[1:])]
+
+
+def _batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), DEALT)] if rows else [pa.array([], f.type) for f in DEALT], schema=DEALT)
+
+
+def _groups(*keys: np.ndarray):
+    """The order by keys, which places of it begin a group, and the size of each place's group."""
     order = np.lexsort(keys[::-1])
-    keys, rows, places = [k[order] for k in keys], rows[order], places[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    return keys, rows, places, new, np.diff(np.append(first, len(rows)))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    counts = np.diff(np.append(np.flatnonzero(new), len(order)))
+    return order, new, np.repeat(counts, counts)
+
+
+def _tag(raw: bytes) -> np.uint64:
+    """Tells the texts of one row key apart."""
+    return np.uint64(xxhash.xxh3_64_intdigest(raw, 5) & 0xFFFF)
 
 
-def _anchors(min_words: int):
+def _folded(keys: list[np.ndarray], rest: list[np.ndarray]):
+    """The first record of each key with its flag (the low bit of the last column) set if there are more; and the others."""
+    order, new, counts = _groups(*keys)
+    first, others = order[new], order[~new]
+    more = np.zeros(len(order), bool)
+    more[order] = counts > 1
+    first.sort()
+    rest = [*rest[:-1], rest[-1] | more.astype(np.uint64)]
+    return [c[first] for c in (*keys, *rest)], [c[others] for c in rest]
+
+
+def _anchors(min_words: int, buckets: int, row_buckets: int):
     width, period, cover = cover_for(min_words)
     on_cover = np.zeros(period, bool)
     on_cover[list(cover)] = True
 
     def run(batches):
         cache, window = WordCache(word_hash), WindowHash(MULT_A)
-        held, size = [], 0
+        held, texts, size = [], [], 0
 
         def flush():
-            keys, rows, places = (np.concatenate(x) for x in zip(*held))
-            (keys,), rows, places, new, counts = _folded([keys], rows, places)
-            known = np.repeat(counts > 1, counts)
-            # Other members of a group are known to repeat: they go through under a key of their own.
-            own = mix(rows.view(np.uint64) ^ mix(places.astype(np.uint64) + np.uint64(1)))
-            return batches_of(KEYED, [longs(np.where(new, keys, own)), rows, places << 1 | known])
+            keys, *rest = (np.concatenate(x) for x in zip(*held))
+            (keys, *first), (rows, tags, places) = _folded([keys], rest)
+            out = _dealt(ANCHORS, keys, buckets, [keys >> np.uint64(16), *first], ANCHOR)
+            known = [(rows, tags, places >> ONE)]
+            a, b, rows, tags, places = (np.array(c, np.uint64) for c in zip(*texts))
+            first, (rows, tags, _) = _folded([a, b], [rows, tags, places])
+            out += _dealt(TEXTS, first[0] ^ first[1], buckets, first, WINDOW)
+            known.append((rows, tags, np.full(len(rows), COPY)))
+            known = [np.concatenate(c) for c in zip(*known)]
+            return _batch(out + _dealt(KNOWN, mix(known[0]), row_buckets, known, MARK))
 
         for batch in batches:
-            for row, raw in zip(batch.column("wl_row").to_numpy(), raw_texts(batch, "wl_text")):
-                _, h = _hashes(raw, cache)
-                if len(h) >= min_words:
-                    at = np.arange(len(h) - width + 1)
-                    at = at[on_cover[at % period]]
-                    held.append((window.at(window.prefix(h), at, width), np.full(len(at), row, np.int64), at))
-                    size += len(at)
-                    if size >= CHUNK:
-                        yield from flush()
-                        held, size = [], 0
+            for row, raw in zip(batch.column("wl_row").to_numpy().view(np.uint64), raw_texts(batch, "wl_text")):
+                words = split_words(raw)
+                if len(words) < min_words:
+                    continue
+                h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+                at = np.arange(len(h) - width + 1)
+                at = at[on_cover[at % period]]
+                tag, d = _tag(raw), xxhash.xxh3_128_intdigest(raw)
+                held.append((window.at(window.prefix(h), at, width), np.full(len(at), row), np.full(len(at), tag), at.astype(np.uint64) << ONE))
+                texts.append((d >> 64, d & 0xFFFF, row, tag, 0))
+                size += len(at)
+                if size >= CHUNK:
+                    yield flush()
+                    held, texts, size = [], [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-def _candidates(n: int, anchors, min_words: int) -> np.ndarray:
+def _repeated(row_buckets: int):
+    """Places of anchors that repeat, and marks of copies, by bucket of their row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, *rest = _gathered(table, ANCHORS, ANCHOR)
+        order, _, counts = _groups(keys)
+        rows, tags, places = (c[order] for c in rest)
+        hit = (counts > 1) | (places & ONE > 0)
+        out = [(rows[hit], tags[hit], places[hit] >> ONE)]
+        a, b, rows, tags, flags = _gathered(table, TEXTS, WINDOW)
+        order, new, counts = _groups(a, b)
+        # Groups again, with the least row first.
+        order = order[np.lexsort((tags[order], rows[order], np.cumsum(new)))]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else order
+        rows, tags, flags = rows[order], tags[order], flags[order]
+        speaks = (rows == rows[first]) & (tags == tags[first])
+        hit = (counts > 1) | (flags & ONE > 0)
+        out.append((rows[hit], tags[hit], np.where(speaks, SPEAKER, COPY)[hit]))
+        out.append(_gathered(table, KNOWN, MARK))
+        out = [np.concatenate(c) for c in zip(*out)]
+        return pa.Table.from_batches([_batch(_dealt(KNOWN, mix(out[0]), row_buckets, out, MARK))])
+
+    return run
+
+
+def _unique(row_buckets: int):
+    """Places of windows that occur once, by bucket of their row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, *rest = _gathered(table, ANCHORS, WINDOW)
+        order, _, counts = _groups(a, b)
+        rows, tags, places = (c[order] for c in rest)
+        once = (counts == 1) & (places & ONE == 0)
+        out = [rows[once], tags[once], places[once] >> ONE]
+        return pa.Table.from_batches([_batch(_dealt(KNOWN, mix(out[0]), row_buckets, out, MARK))])
+
+    return run
+
+
+OF_ROW = pa.schema([("wl_row", pa.int64()), ("wl_places", pa.binary())])
+
+
+def _of_rows(table: pa.Table) -> pa.Table:
+    """One block of places a row."""
+    rows, tags, places = _gathered(table, KNOWN, MARK)
+    order = np.lexsort((places, tags, rows))
+    rows, tags, places = rows[order], tags[order], places[order]
+    at = np.append(np.flatnonzero(np.diff(rows, prepend=~rows[:1])), len(rows))
+    blocks = [pack([tags[i:j], places[i:j]], OWN) for i, j in zip(at, at[1:])]
+    return pa.table([pa.array(rows[at[:-1]].view(np.int64)), pa.array(blocks, pa.binary())], schema=OF_ROW)
+
+
+def _places(block, tag: np.uint64) -> np.ndarray:
+    """The places that a row's block (a scalar, null for none) has for the text of this tag."""
+    if not block.is_valid:
+        return np.zeros(0, np.uint64)
+    tags, places = unpack(block.as_py(), OWN)
+    return places[tags == tag]
+
+
+def _candidates(n: int, anchors: np.ndarray, min_words: int) -> np.ndarray:
     """Starts of the long windows that hold a repeated anchor."""
     width, period, _ = cover_for(min_words)
     starts = n - min_words + 1
-    if anchors is None or not len(anchors) or starts <= 0:
+    a = np.unique(anchors[anchors < COPY]).astype(np.int64)
+    if not len(a) or starts <= 0:
         return np.zeros(0, np.int64)
-    a = np.unique(np.asarray(anchors, np.int64))
     low = np.maximum(a - (period - 1), 0)
     d = np.zeros(starts + period + width + 1, np.int32)
     np.add.at(d, low[low < starts], 1)
@@ -124,41 +260,38 @@ def _candidates(n: int, anchors, min_words: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(d[:starts]) > 0)
 
 
-def _checks(window_b, h, at, min_words):
-    """24 more bits of a window's hash, from a second polynomial over remixed word hashes."""
-    return (window_b.at(window_b.prefix(mix(h)), at, min_words) >> np.uint64(40)).astype(np.int64)
-
-
-def _windows(min_words: int):
+def _windows(min_words: int, buckets: int):
     def run(batches):
         cache, wa, wb = WordCache(word_hash), WindowHash(MULT_A), WindowHash(MULT_B)
         held, size = [], 0
 
         def flush():
-            keys, checks, rows, places = (np.concatenate(x) for x in zip(*held))
-            (keys, checks), rows, places, new, counts = _folded([keys, checks], rows, places)
-            known = (np.repeat(counts > 1, counts) | (places & 1)).astype(np.int64)
-            places = places >> 1 << 32 | checks << 1 | known
-            return batches_of(KEYED, [longs(keys[new]), rows[new], places[new]])  # the rest is known to repeat
+            a, b, *rest = (np.concatenate(x) for x in zip(*held))
+            first, _ = _folded([a, b], rest)  # the others are known to repeat
+            return _batch(_dealt(ANCHORS, first[0] ^ first[1], buckets, first, WINDOW))
 
         for batch in batches:
-            for row, raw, anchors, speaks in zip(
-                batch.column("wl_row").to_numpy(), raw_texts(batch, "wl_text"), batch.column("wl_anchors"), batch.column("wl_speaks").to_pylist()
-            ):
-                if speaks is False:  # a copy of a document that sends its windows
+            for row, raw, block in zip(batch.column("wl_row").to_numpy().view(np.uint64), raw_texts(batch, "wl_text"), batch.column("wl_places")):
+                words = split_words(raw)
+                if len(words) < min_words:
+                    continue
+                tag = _tag(raw)
+                marks = _places(block, tag)
+                speaks = bool((marks == SPEAKER).any())
+                if not speaks and (marks == COPY).any():  # a copy of a document that sends its windows
                     continue
-                _, h = _hashes(raw, cache)
-                at = _candidates(len(h), anchors.values.to_numpy(), min_words)
+                at = _candidates(len(words), marks, min_words)
                 if len(at):
+                    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
                     key = wa.at(wa.prefix(h), at, min_words)
-                    known = np.full(len(at), bool(speaks))
-                    held.append((key, _checks(wb, h, at, min_words), np.full(len(at), row, np.int64), at << 1 | known))
+                    check = wb.at(wb.prefix(mix(h)), at, min_words) >> np.uint64(48)
+                    held.append((key, check, np.full(len(at), row), np.full(len(at), tag), at.astype(np.uint64) << ONE | np.uint64(speaks)))
                     size += len(at)
                     if size >= CHUNK:
-                        yield from flush()
+                        yield flush()
                         held, size = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
@@ -171,22 +304,22 @@ def _clean(min_words: int):
         [("wl_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
     )
 
+    def repeated(words, raw, marks, unique):
+        if len(words) < min_words:
+            return np.zeros(0, np.int64)
+        tag = _tag(raw)
+        marks = _places(marks, tag)
+        if (marks >= COPY).any():
+            return np.arange(len(words) - min_words + 1)
+        at = _candidates(len(words), marks, min_words)
+        return at[~np.isin(at, _places(unique, tag).astype(np.int64))]
+
     def run(batches):
-        cache, wb = WordCache(word_hash), WindowHash(MULT_B)
         for batch in batches:
             ids, total, gone, kept, held = [], [], [], [], 0
             for i, raw in enumerate(raw_texts(batch, "wl_text")):
                 words = split_words(raw)
-                anchors, unique = batch.column("wl_anchors")[i], batch.column("wl_unique")[i]
-                at = np.zeros(0, np.int64)
-                if batch.column("wl_speaks")[i].is_valid:
-                    at = np.arange(max(0, len(words) - min_words + 1))
-                elif anchors.is_valid and len(words) >= min_words:
-                    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-                    at = _candidates(len(words), anchors.values.to_numpy(), min_words)
-                    if unique.is_valid and len(at):
-                        mine = at << 32 | _checks(wb, h, at, min_words) << 1
-                        at = at[~np.isin(mine, unique.values.to_numpy())]
+                at = repeated(words, raw, batch.column("wl_places")[i], batch.column("wl_unique")[i])
                 if len(at):
                     mask = runs_to_mask(len(words), at, min_words)
                     gone.append(int(mask.sum()))
@@ -214,44 +347,25 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, id_col: str = "doc_id"
     several texts under one id are separate documents. An empty table gives no rows; other columns
     are not read. Ids are integers.
     """
-    # The row key: id and 12 bits of the text's hash. It packs better than a hash of both. Texts of one id that
-    # share those bits only share candidates: windows are told apart by their check bits, copies by a whole hash.
-    some = F.xxhash64(text_col, F.col(text_col).isNull(), F.col(id_col).isNull())
-    place = F.shiftleft(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), 12).bitwiseXOR(some.bitwiseAND(F.lit(4095)))
+    # The row key: id and 12 bits of the text's hash, which packs better than a hash of both; a tag of 16 more
+    # bits goes with each place. Null ids have a hash of the text.
+    some = F.xxhash64(F.lit(3), F.col(text_col), F.col(text_col).isNull())
+    place = F.coalesce(F.shiftleft(F.col(id_col).cast("long"), 12).bitwiseXOR(some.bitwiseAND(F.lit(4095))), some)
     base = prepared(docs, id_col, text_col).select(
         place.alias("wl_row"), F.col(id_col).cast("long").alias("wl_id"), F.col(text_col).alias("wl_text")
     )
-    keyed = "wl_key long, wl_row long, wl_place long"
-    anchors = base.select("wl_row", "wl_text").mapInArrow(_anchors(min_words), keyed)
-    repeated = (
-        anchors.withColumn("wl_n", F.count(F.lit(1)).over(Window.partitionBy("wl_key")))
-        .where((F.col("wl_n") > 1) | (F.col("wl_place") % 2 == 1))
-        .groupBy("wl_row")
-        .agg(F.collect_list(F.shiftright("wl_place", 1)).alias("wl_anchors"))
-    )
-    # Equal texts: (row key, whether it is the one that sends windows).
-    same = [F.xxhash64("wl_text").alias("wl_h1"), F.xxhash64(F.lit(1), F.col("wl_text")).alias("wl_h2")]
-    texts = base.where("wl_text is not null").select("wl_row", *same)
-    groups = texts.groupBy("wl_h1", "wl_h2").agg(F.count(F.lit(1)).alias("wl_n"), F.min("wl_row").alias("wl_speaker")).where("wl_n > 1")
-    copies = (
-        texts.join(groups, ["wl_h1", "wl_h2"])
-        .groupBy("wl_row", "wl_h1")
-        .agg(F.max(F.col("wl_row") == F.col("wl_speaker")).alias("wl_speaks"))
-        .withColumnRenamed("wl_row", "wl_of")
-    )
-    same_text = (F.col("wl_row") == F.col("wl_of")) & (F.xxhash64("wl_text") == F.col("wl_h1"))
-
-    def told(df: DataFrame) -> DataFrame:
-        return df.join(copies, same_text, "left").drop("wl_of", "wl_h1")
-
-    windows = told(base.join(repeated, "wl_row")).mapInArrow(_windows(min_words), keyed)
-    check = F.shiftright("wl_place", 1).bitwiseAND(F.lit((1 << 24) - 1))
-    unique = (
-        windows.withColumn("wl_check", check)
-        .withColumn("wl_n", F.count(F.lit(1)).over(Window.partitionBy("wl_key", "wl_check")))
-        .where((F.col("wl_n") == 1) & (F.col("wl_place") % 2 == 0))
-        .groupBy("wl_row")
-        .agg(F.collect_list("wl_place").alias("wl_unique"))
-    )
-    cleaned = told(base.join(repeated, "wl_row", "left").join(unique, "wl_row", "left")).mapInArrow(_clean(min_words), CLEANED)
+    total = base.agg(F.sum(F.octet_length("wl_text")).alias("n")).first()["n"] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, math.ceil(total / BUCKET_BYTES))
+    row_buckets = max((partitions + 1) // 2, math.ceil(total / (8 * BUCKET_BYTES)))
+
+    def by_row(found: DataFrame) -> DataFrame:
+        return found.groupBy("wl_bucket").applyInArrow(_of_rows, "wl_row long, wl_places binary")
+
+    # All columns go into the functions, so both joins on the row key share one exchange of the texts.
+    anchors = base.mapInArrow(_anchors(min_words, buckets, row_buckets), DEALT_SQL)
+    marks = by_row(anchors.groupBy("wl_bucket").applyInArrow(_repeated(row_buckets), DEALT_SQL))
+    windows = base.join(marks, "wl_row").mapInArrow(_windows(min_words, buckets), DEALT_SQL)
+    unique = by_row(windows.groupBy("wl_bucket").applyInArrow(_unique(row_buckets), DEALT_SQL)).withColumnRenamed("wl_places", "wl_unique")
+    cleaned = base.join(marks.join(unique, "wl_row", "left"), "wl_row", "left").mapInArrow(_clean(min_words), CLEANED)
     return cleaned.withColumnRenamed("wl_id", id_col)

@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.session import ship
-
-#: Used only where the session names no shared folder (tests, a single machine).
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/memloom"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` once into the shared folder and read it back.
-
-    A lost executor costs no recomputation of what is written here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from memloom.sources.store import written as materialize  # noqa: F401  (the operators take it from here)
 
 def prepared(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, with the package known to the executors."""
@@ -37,6 +16,14 @@ def prepared(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns)
 
 
+def hash_sample(rows: DataFrame, key: list[str], total: int, limit: int) -> DataFrame:
+    """At most ``limit`` of ``total`` rows, by hash order of the key. Most others go before anything is sorted."""
+    h = F.xxhash64(F.lit(11), *key)
+    if total > 2 * limit:
+        rows = rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 1.5 * limit / total))
+    return rows.orderBy(h, *key).limit(limit)
+
+
 def row_key(id_col: str, text_col: str):
     """A 64-bit key of a row by id and text; equal rows have equal keys, nulls included."""
     return F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import prepared, raw_texts, row_key
+from memloom.llm.common import materialize, prepared, raw_texts, row_key
+from memloom.operators.skew import hot_at, with_groups
 
 MEAN_LINES = 4
 #: Lines of a window; longer runs are chains of windows.
@@ -73,7 +74,7 @@ def _chunks(mean: int, runs: bool):
     return run
 
 
-TAKEN = pa.schema([*[(n, pa.int64()) for n in ("ln_row", "f", "c", "d1", "d2")], ("stays", pa.bool_()), ("t", pa.binary())])
+TAKEN = pa.schema([*[(n, pa.int64()) for n in ("ln_row", "f", "c", "d1", "d2", "parts")], ("stays", pa.bool_()), ("t", pa.binary())])
 
 
 def _take(batches):
@@ -84,7 +85,7 @@ def _take(batches):
             lines = raw.split(b"\n")
             for w in batch.column("ln_wanted")[i].as_py():
                 t = b"\n".join(lines[w["f"] : w["f"] + w["c"]])
-                out.append((row, w["f"], w["c"], w["d1"], w["d2"], w["stays"], t))
+                out.append((row, w["f"], w["c"], w["d1"], w["d2"], w["parts"], w["stays"], t))
                 held += len(t)
             if out and (held > 8_000_000 or i + 1 == batch.num_rows):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), TAKEN)], schema=TAKEN)
@@ -133,32 +134,38 @@ def line_dedup(
         *[F.col(k).alias(f"ln_k{i}") for i, k in enumerate(keep)],
     )
     long_rows = ", ".join(f"{f.name} long" for f in CHUNKS)
-    chunks = base.select("ln_row", "ln_id", "ln_text").mapInArrow(_chunks(mean, runs), long_rows)
+    chunks = materialize(base.select("ln_row", "ln_id", "ln_text").mapInArrow(_chunks(mean, runs), long_rows))
+    total = chunks.count()
     place = F.struct(F.coalesce("ln_id", F.lit(-(1 << 63))).alias("i"), F.col("ln_first").alias("f"), F.col("ln_row").alias("r"))
     groups = (
         chunks.groupBy("ln_d1", "ln_d2")
-        .agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"))
+        .agg(F.min(place).alias("first_place"), F.max(place).alias("last_place"), F.count(F.lit(1)).alias("ln_n"))
         .where("first_place <> last_place")
-        .select("ln_d1", "ln_d2", "first_place")
+        .select("ln_d1", "ln_d2", "first_place", "ln_n")
     )
+    # A chunk of very many places is compared in parts, each with its own copy of the bytes that stay.
+    parts = F.ceil(F.col("ln_n") / F.lit(hot_at(total)))
     wanted = (
-        chunks.join(groups, ["ln_d1", "ln_d2"])
+        with_groups(chunks, groups, ["ln_d1", "ln_d2"], "ln_n", total)
         .select(
             "ln_row",
             F.struct(
                 F.col("ln_first").alias("f"), F.col("ln_count").alias("c"), F.col("ln_d1").alias("d1"), F.col("ln_d2").alias("d2"),
-                (place == F.col("first_place")).alias("stays"),
+                parts.alias("parts"), (place == F.col("first_place")).alias("stays"),
             ).alias("w"),
         )
         .groupBy("ln_row")
         .agg(F.collect_set("w").alias("ln_wanted"))
     )
     # All columns go into the function, so both joins on the row key share one exchange of the texts.
-    taken = base.join(wanted, "ln_row").mapInArrow(_take, "ln_row long, f long, c long, d1 long, d2 long, stays boolean, t binary")
-    kept = taken.where("stays").select("d1", "d2", F.col("t").alias("kept_t")).dropDuplicates(["d1", "d2"])
+    taken = base.join(wanted, "ln_row").mapInArrow(_take, "ln_row long, f long, c long, d1 long, d2 long, parts long, stays boolean, t binary")
+    kept = (
+        taken.where("stays").dropDuplicates(["d1", "d2"])
+        .select("d1", "d2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("t").alias("kept_t"))
+    )
     spans = (
-        taken.where("not stays")
-        .join(kept, ["d1", "d2"])
+        taken.where("not stays").withColumn("part", F.pmod(F.xxhash64("ln_row", "f"), F.col("parts")))
+        .join(kept, ["d1", "d2", "part"])
         .where("t = kept_t")
         .groupBy("ln_row")
         .agg(F.collect_set(F.struct("f", "c")).alias("ln_spans"))

@@ -1,6 +1,9 @@
 """Approximate nearest neighbours by largest inner product: one small-world graph per shard.
 
-Vectors are dealt to shards of about ``SHARD`` distinct vectors by hash. A shard's index has levels
+Vectors go to the nearest of as many centroids as there are shards of about ``SHARD`` distinct vectors; a
+centroid that draws more is split into shards by hash. The centroids come from a bounded sample (``SAMPLE``
+rows, ``SAMPLE_BYTES``), on which it is also measured how many centroids a query must visit to meet
+``COVERED`` of its nearest rows: vectors without clusters make it all of them. A shard's index has levels
 of fewer and fewer nodes (one in ``SPARSER`` goes up); on each level every node has a row of at most
 ``degree`` neighbours in one flat array. Inner products become distances by one more coordinate,
 sqrt(longest^2 - length^2), which queries lack. Rows are chosen from the nearest of the level
@@ -8,7 +11,8 @@ sqrt(longest^2 - length^2), which queries lack. Rows are chosen from the nearest
 nearer to the node than to all taken before; links then run both ways. Search goes down the levels
 with a beam of ``beam`` entries, for blocks of queries at once. Shard results are merged by score.
 
-Equal vectors are one node that carries its least ``k + 1`` ids, which are all that a result can show.
+Equal vectors are one node that carries its least ``k + 1`` ids, which are all that a result can show. Graphs
+work on single precision, scaled; scores are taken from the original doubles.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import materialize, prepared
+from memloom.llm.common import hash_sample, materialize, prepared
 
 SHARD = 12_000
 SPARSER = 16
@@ -28,6 +32,44 @@ DEGREE = 32
 POOL = 96
 BEAM = 200
 QUERY_BLOCK = 8_192
+#: Bytes of a shard's vectors, rows and bytes of the sample, and most centroids.
+SHARD_BYTES = 64_000_000
+SAMPLE, SAMPLE_BYTES, CENTROIDS = 20_000, 64_000_000, 1024
+#: Share of a sampled row's nearest rows that must lie with the centroids that it visits.
+COVERED = 0.99
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """In single precision, with a greatest component of one; inner products keep their order."""
+    return (x / max(np.abs(x).max(initial=0), np.finfo(np.float64).tiny)).astype(np.float32)
+
+
+def _nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centroids.T - (centroids * centroids).sum(1) / 2, axis=1)
+
+
+def coarse(x: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
+    """Centroids by Lloyd's algorithm, from the first rows of a sample in hash order."""
+    c = x[:clusters].astype(np.float64)
+    for _ in range(rounds if len(c) > 1 else 0):
+        near = _nearest_centroid(x, c)
+        n = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def visits(x: np.ndarray, centroids: np.ndarray, k: int, covered: float = COVERED, asked: int = 500) -> int:
+    """How many centroids, by falling inner product, hold that share of the k nearest sampled rows of sampled queries."""
+    near = _nearest_centroid(x, centroids)
+    q = x[:asked]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    best = np.argpartition(-score, min(k, len(x) - 1), axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(rank, near[best], 1).ravel())
+    return int(ranks[math.ceil(covered * len(ranks)) - 1]) + 1 if len(ranks) else 1
 
 
 def extended(x: np.ndarray) -> np.ndarray:
@@ -148,11 +190,12 @@ def _beam(x, place, rows, q, start, beam, step=4):
 
 
 def search_index(x: np.ndarray, index: dict, q: np.ndarray, beam: int = BEAM, block: int = 256) -> np.ndarray:
-    """Places of the nearest nodes of each query, -1 for none."""
+    """Places of the nearest nodes of each query, -1 for none; a shard no larger than the beam is all in it."""
+    if len(x) <= beam:
+        return np.tile(np.arange(len(x)), (len(q), 1))
     out = []
-    x = x.astype(np.float32)
     for i in range(0, len(q), block):
-        part = q[i : i + block].astype(np.float32)
+        part = q[i : i + block]
         start = np.full((len(part), 1), index["entry"], np.int64)
         for place, rows in reversed(index["levels"][1:]):
             start = _beam(x, place, rows, part, start, 8, 2)
@@ -162,20 +205,21 @@ def search_index(x: np.ndarray, index: dict, q: np.ndarray, beam: int = BEAM, bl
 
 
 STORED = (
-    "an_shard int, an_vectors binary, an_ids array<long>, an_ends array<long>, an_places array<binary>, an_rows array<binary>, an_entry int"
+    "an_cluster int, an_part int, an_vectors binary, an_ids array<long>, an_ends array<long>, an_places array<binary>, an_rows array<binary>, an_entry int"
 )
 
 
 def _build(dim: int, degree: int, pool: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("an_lead").combine_chunks()
-        x = table.column("an_vec").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, dim)
-        index = build_index(x, degree, pool)
+        x = table.column("an_vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        index = build_index(scaled(x), degree, pool)
         ids = table.column("an_ids").combine_chunks()
         ends = np.cumsum([len(i) for i in ids])
         return pa.table(
             {
-                "an_shard": pa.array(table.column("an_shard").to_pylist()[:1], pa.int32()),
+                "an_cluster": pa.array(table.column("an_cluster").to_pylist()[:1], pa.int32()),
+                "an_part": pa.array(table.column("an_part").to_pylist()[:1], pa.int32()),
                 "an_vectors": pa.array([x.tobytes()]),
                 "an_ids": pa.array([ids.flatten().to_numpy()], pa.list_(pa.int64())),
                 "an_ends": pa.array([ends], pa.list_(pa.int64())),
@@ -188,6 +232,28 @@ def _build(dim: int, degree: int, pool: int):
     return run
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _placed(dim: int, centroids: np.ndarray, unit: float, visited: int = 0, members: np.ndarray | None = None, least: int = 0):
+    """Rows with the nearest centroid, or with those that a query visits: the first ``visited`` by inner product, and more until they have ``least`` members."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("an_vec").flatten().to_numpy().reshape(-1, dim) / unit
+            if members is None:
+                to = list(_nearest_centroid(x, centroids)[:, None].astype(np.int32))
+            else:
+                order = np.argsort(-(x @ centroids.T), axis=1, kind="stable").astype(np.int32)
+                before = np.cumsum(members[order], axis=1) - members[order]
+                to = [o[: max(visited, int((b < least).sum()))] for o, b in zip(order, before)]
+            arrays = [*batch.columns, pa.array(to, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "an_clusters"])
+
+    return run
+
+
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -198,7 +264,7 @@ def _search(dim: int, degree: int, beam: int, k: int):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         got = left.to_pylist()[0]
-        x = np.frombuffer(got["an_vectors"], np.float32).reshape(-1, dim)
+        x = np.frombuffer(got["an_vectors"], np.float64).reshape(-1, dim)
         index = {
             "levels": [(np.frombuffer(p, np.int32), np.frombuffer(r, np.int32).reshape(-1, degree)) for p, r in zip(got["an_places"], got["an_rows"])],
             "entry": got["an_entry"],
@@ -206,12 +272,15 @@ def _search(dim: int, degree: int, beam: int, k: int):
         ids, ends = np.array(got["an_ids"], np.int64), np.array(got["an_ends"], np.int64)
         starts = np.append(0, ends[:-1])
         own = right.column("an_query").to_numpy()
-        q = right.column("an_vec").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-        found = search_index(x, index, q, max(beam, 2 * k))
+        q = right.column("an_vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        small = (q / np.abs(q).max(1, keepdims=True)).astype(np.float32)
+        wide = max(beam, 2 * k)
+        found = search_index(scaled(x), index, small, wide)
         out = []
         for i, row in enumerate(found):
-            row = row[row >= 0][: k + 8]
-            score = (x[row].astype(np.float64) * q[i]).sum(1)
+            row = row[row >= 0]
+            row = row if len(x) <= wide else row[: k + 8]
+            score = (x[row] * q[i]).sum(1)
             cand, exact = ids[np.concatenate([np.arange(starts[j], ends[j]) for j in row] or [np.zeros(0, int)])], np.repeat(score, ends[row] - starts[row])
             cand, exact = cand[cand != own[i]], exact[cand != own[i]]
             best = np.lexsort([cand, -exact])[:k]
@@ -237,7 +306,7 @@ def nearest(
     def clean(d: DataFrame) -> DataFrame:
         return (
             prepared(d, id_col, vec_col)
-            .select(F.col(id_col).cast("long").alias("an_id"), F.col(vec_col).cast("array<float>").alias("an_vec"))
+            .select(F.col(id_col).cast("long").alias("an_id"), F.col(vec_col).cast("array<double>").alias("an_vec"))
             .where(
                 F.col("an_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
                 & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -254,18 +323,36 @@ def nearest(
     # Row numbers under a limit are cut in each task before the shuffle, so a common vector costs k + 1 rows a task.
     first = rows.where(F.size(v) == dim).withColumn("an_n", F.row_number().over(Window.partitionBy("an_vec").orderBy("an_id"))).where(F.col("an_n") <= k + 1)
     nodes = materialize(first.groupBy("an_vec").agg(F.sort_array(F.collect_list("an_id")).alias("an_ids"), F.min("an_id").alias("an_lead")))
-    shards = max(1, math.ceil(nodes.count() / shard))
+    total = nodes.count()
+    size = max(1, min(shard, SHARD_BYTES // (8 * dim)))
+    sampled = hash_sample(nodes.select("an_lead", "an_vec"), ["an_lead"], total, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).toArrow()
+    sample = sampled.column("an_vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    unit = max(np.abs(sample).max(initial=0), np.finfo(np.float64).tiny)
+    centroids = coarse(sample / unit, min(CENTROIDS, math.ceil(total / size)))
+    probes = visits(sample / unit, centroids, k)
+    placed = nodes.mapInArrow(_placed(dim, centroids, unit), f"{_ddl(nodes)}, an_clusters array<int>").withColumn("an_cluster", F.col("an_clusters")[0])
+    members = {r["an_cluster"]: r["count"] for r in placed.groupBy("an_cluster").count().collect()}  # CENTROIDS rows at most
+    parts = F.create_map(*[F.lit(int(x)) for c, n in members.items() for x in (c, math.ceil(n / size))])
+    shard_key = ["an_cluster", "an_part"]
     index = materialize(
-        nodes.withColumn("an_shard", F.pmod(F.xxhash64("an_lead"), F.lit(shards)).cast("int"))
-        .groupBy("an_shard")
+        placed.withColumn("an_part", F.pmod(F.xxhash64("an_lead"), parts[F.col("an_cluster")]).cast("int"))
+        .groupBy(*shard_key)
         .applyInArrow(_build(dim, degree, pool), STORED)
     )
     asked = clean(queries).where(F.size(v) == dim).withColumnRenamed("an_id", "an_query")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    dealt = asked.withColumn("an_block", F.pmod(F.xxhash64("an_query"), F.lit(blocks)).cast("int")).withColumn(
-        "an_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    counts = np.array([members.get(c, 0) for c in range(len(centroids))])
+    routed = asked.mapInArrow(_placed(dim, centroids, unit, probes, counts, 10 * k), f"{_ddl(asked)}, an_clusters array<int>").withColumn("an_cluster", F.explode("an_clusters"))
+    visitors = {r["an_cluster"]: r["count"] for r in routed.groupBy("an_cluster").count().collect() if r["an_cluster"] in members}  # likewise
+    if not visitors:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks = F.create_map(*[F.lit(int(x)) for c, n in visitors.items() for x in (c, math.ceil(n / QUERY_BLOCK))])[F.col("an_cluster")]
+    dealt = (
+        routed.where(parts[F.col("an_cluster")].isNotNull())
+        .withColumn("an_block", F.pmod(F.xxhash64("an_query"), blocks).cast("int"))
+        .withColumn("an_part", F.explode(F.sequence(F.lit(0), parts[F.col("an_cluster")] - 1)))
+        .select("an_query", "an_vec", "an_block", *shard_key)
     )
-    copies = index.withColumn("an_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = copies.groupBy("an_shard", "an_block").cogroup(dealt.groupBy("an_shard", "an_block")).applyInArrow(_search(dim, degree, beam, k), FOUND)
+    copies = index.where(blocks.isNotNull()).withColumn("an_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    found = copies.groupBy(*shard_key, "an_block").cogroup(dealt.groupBy(*shard_key, "an_block")).applyInArrow(_search(dim, degree, beam, k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -83,6 +83,8 @@ class LanguageModel:
     prior: np.ndarray
 
 
+#: About as many as have a two-letter code; 32 768 counts each.
+MOST_LANGUAGES = 200
 COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
 
 
@@ -110,9 +112,15 @@ def _counts(batches):
 
 
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> LanguageModel:
-    """Counts over all rows with text and language. The driver gets languages x buckets counts at most."""
+    """Counts over all rows with text and language. The driver gets languages x buckets counts at most.
+
+    More than ``MOST_LANGUAGES`` distinct values of ``lang_col`` are an error: that column names no languages.
+    """
     rows = prepared(docs, text_col, lang_col).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = rows.where("lang is not null and text is not null").mapInArrow(_counts, "lang string, bucket long, n long")
+    named = rows.where("lang is not null and text is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if named > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages in {lang_col}")
     got = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(got["lang"].unique()))
     dense = np.zeros(((1 << BUCKET_BITS) + len(NAMES) + 1, len(languages)))

@@ -4,8 +4,8 @@ Features are present or absent: each distinct word, lower-cased without the ASCI
 it; each distinct shape (the punctuation after a word, all-capital words, bare marks); the first five
 letters of words; those of them that begin at least three distinct words and one in a hundred; and two
 levels of words that repeat the word before. Fitting
-takes a sample of at most ``MAX_SAMPLE`` rows (a documented bound, by hash order of the id); scoring
-covers all rows.
+takes a sample of at most ``MAX_SAMPLE`` rows and ``MAX_SAMPLE_BYTES`` of text (documented bounds, by hash
+order of the id); scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import map_texts
+from memloom.llm.common import hash_sample, map_texts, materialize
 from memloom.llm.textcore import WordCache, split_words
 
 BUCKETS = 1 << 18
 MAX_SAMPLE = 12_000
+#: Bytes of text of those rows; their features take a few times as much on the driver.
+MAX_SAMPLE_BYTES = 96_000_000
 MIN_DOCS = 3
 #: A bucket takes part if its rows' targets lie this many standard deviations off the mean of some class.
 LEAST_Z = 3.5
@@ -85,9 +87,32 @@ def sample_features(rows: DataFrame, text_col: str) -> DataFrame:
     return map_texts(rows, text_col, make, {"buckets": pa.list_(pa.int32())}, need_text=False)
 
 
-def bounded_sample(keys: DataFrame, id_col: str, limit: int = MAX_SAMPLE) -> DataFrame:
-    """At most ``limit`` rows, by hash order of the id: the rows a classifier is fitted on."""
-    return keys.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(limit)
+def fitting_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, limit: int = MAX_SAMPLE, limit_bytes: int = MAX_SAMPLE_BYTES):
+    """(ids, sample, the other columns of ``keys``) of the rows that a model is fitted on, gathered on the driver.
+
+    ``keys`` has distinct ids ``wl_id`` and narrow columns. By hash order of the id, at most ``limit`` of them take
+    part; of several texts under one id the one of the least hash; rows in that order while their texts sum to
+    ``limit_bytes`` at most (and always the first).
+    """
+    chosen = hash_sample(keys, ["wl_id"], keys.count(), limit)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("wl_id"), text.alias("wl_text_in")).where(text.isNotNull())
+    one = rows.join(F.broadcast(chosen), "wl_id").groupBy(*chosen.columns).agg(F.min_by("wl_text_in", F.xxhash64("wl_text_in")).alias("wl_text_in"))
+    one = materialize(one.withColumn("wl_size", F.octet_length("wl_text_in")).withColumn("wl_order", F.xxhash64("wl_id")))
+    # ``limit`` rows of three numbers.
+    sizes = one.select("wl_order", "wl_id", "wl_size").toPandas().sort_values(["wl_order", "wl_id"])
+    fits = sizes["wl_size"].cumsum() <= limit_bytes
+    last = int(max(fits.sum(), 1)) - 1
+    if len(sizes) and last + 1 < len(sizes):
+        end = sizes.iloc[last]
+        one = one.where((F.col("wl_order") < int(end["wl_order"])) | ((F.col("wl_order") == int(end["wl_order"])) & (F.col("wl_id") <= int(end["wl_id"]))))
+    got = sample_features(one.drop("wl_size", "wl_order"), "wl_text_in").toArrow()
+    ids = got.column("wl_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    lists = got.column("buckets").combine_chunks()
+    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    sample = Sample.of([flat[offsets[i] : offsets[i + 1]] for i in order])
+    return ids[order], sample, {n: got.column(n).to_numpy()[order] for n in keys.columns if n != "wl_id"}
 
 
 @dataclasses.dataclass(frozen=True)

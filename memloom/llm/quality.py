@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.common import map_texts, materialize
-from memloom.llm.linear import MAX_SAMPLE, LinearModel, Sample, bounded_sample, featurizer, fit, sample_features
+from memloom.llm.linear import MAX_SAMPLE, LinearModel, featurizer, fit, fitting_rows
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 _LETTER = np.zeros(256, bool)
@@ -137,15 +137,11 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     voted = materialize(voted)
     counted = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toPandas()
     weak = expectation_maximisation(counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(float))
-    chosen = bounded_sample(voted.where("wl_id is not null").dropDuplicates(["wl_id"]), "wl_id", limit)
-    # Bounded by ``limit`` rows of an id and an integer.
-    got = sample_features(base.where("wl_text_in is not null").join(F.broadcast(chosen), "wl_id"), "wl_text_in").toArrow()
-    ids = got.column("wl_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    lists = got.column("buckets").combine_chunks()
-    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    good = weak.posterior(got.column("pattern").to_numpy()[order]) if len(ids) else np.zeros(0)
-    scorer = fit(Sample.of([flat[offsets[i] : offsets[i + 1]] for i in order]), np.stack([1 - good, good], axis=1))
+    # Of several texts under one id the least pattern stands for the id.
+    keys = voted.where("wl_id is not null").groupBy("wl_id").agg(F.min("pattern").alias("pattern"))
+    ids, sample, got = fitting_rows(base, keys, "wl_id", "wl_text_in", limit)
+    good = weak.posterior(got["pattern"]) if len(ids) else np.zeros(0)
+    scorer = fit(sample, np.stack([1 - good, good], axis=1))
     return QualityModel(weak, scorer)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.common import map_texts
-from memloom.llm.linear import MAX_SAMPLE, LinearModel, Sample, bounded_sample, featurizer, fit, sample_features
+from memloom.llm.linear import MAX_SAMPLE, LinearModel, featurizer, fit, fitting_rows
 
 FOLDS = 4
 
@@ -35,21 +35,18 @@ class ToxicityChain:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: dict[str, str], id_col: str, text_col: str, limit: int):
-    """Ids, features and label values of at most ``limit`` labelled texts, gathered on the driver.
+    """Ids, features and label values of the labelled texts that a model is fitted on (see ``linear.fitting_rows``).
 
-    ``columns`` names SQL expressions over the labels. Rows with a null id, text or label are left out.
+    ``columns`` names SQL expressions over the labels. Rows with a null id, text or label are left out, and so are
+    ids whose rows of labels contradict each other; rows that agree count once.
     """
     keys = labels.select(F.col(id_col).alias("wl_id"), *[F.expr(e).cast("int").alias(f"wl_y_{n}") for n, e in columns.items()]).dropna()
-    chosen = bounded_sample(keys.dropDuplicates(["wl_id"]), "wl_id", limit)
-    rows = docs.select(F.col(id_col).alias("wl_id"), F.col(text_col).alias("wl_text_in")).where(F.col(text_col).isNotNull())
-    # Bounded by ``limit`` rows of an id and a few integers.
-    got = sample_features(rows.join(F.broadcast(chosen), "wl_id"), "wl_text_in").toArrow()
-    order = np.argsort(got.column("wl_id").to_numpy(), kind="stable")
-    ids = got.column("wl_id").to_numpy()[order]
-    lists = got.column("buckets").combine_chunks()
-    flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-    sample = Sample.of([flat[offsets[i] : offsets[i + 1]] for i in order]) if len(ids) else Sample.of([])
-    return ids, sample, {n: got.column(f"wl_y_{n}").to_numpy()[order] for n in columns}
+    agreed = keys.groupBy("wl_id").agg(*[f(f"wl_y_{n}").alias(f"{a}_{n}") for n in columns for a, f in (("lo", F.min), ("hi", F.max))])
+    for n in columns:
+        agreed = agreed.where(F.col(f"lo_{n}") == F.col(f"hi_{n}"))
+    agreed = agreed.select("wl_id", *[F.col(f"lo_{n}").alias(f"wl_y_{n}") for n in columns])
+    ids, sample, got = fitting_rows(docs, agreed, id_col, text_col, limit)
+    return ids, sample, {n: got[f"wl_y_{n}"] for n in columns}
 
 
 def fit_chain(

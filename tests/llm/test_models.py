@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.llm import quality as Q
-from memloom.llm.ann import build_index, nearest, search_index
+from memloom.llm.ann import build_index, coarse, nearest, search_index, visits
 from memloom.llm.decontam import contaminated
 from memloom.llm.langid import identify_languages, learn_languages, viterbi
 from memloom.llm.licenses import KNOWN, known_licenses, license_scan
@@ -192,6 +192,35 @@ def test_nearest_recall_over_shards_and_copies(spark):
     assert len(hits) == 75 and np.mean(hits) > 0.95
 
 
+def test_nearest_scores_are_of_the_original_doubles(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, 3)), [[1e300, -1e-300, 0.1], [0.37, 1 / 3, 1e-9], [3e38, 7e38, 1.0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 20 = 0"), k=100).collect()
+    assert len(got) == 4 * 62
+    for r in got:
+        assert r["score"] == pytest.approx(float((x[r["vec_id"]] * x[r["query_id"]]).sum()), rel=1e-15)
+
+
+def test_nearest_visits_few_shards_of_clustered_vectors(spark):
+    """Rows of many clusters: queries visit a part of the centroids, and one cluster with a third of all rows is split."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 24)) * 3
+    of = np.where(rng.random(4000) < 0.33, 0, rng.integers(0, 40, 4000))
+    x = centres[of] + rng.normal(size=(4000, 24)) * 0.3
+    centroids = coarse(x, 20)
+    assert visits(x, centroids, 20) <= 6 and visits(rng.normal(size=(4000, 24)), coarse(rng.normal(size=(4000, 24)), 20), 20) > 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 100 = 0"), k=20, shard=200).toPandas()
+    hits = []
+    for q, part in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(part["vec_id"]) & set(np.argsort(-s)[:20].tolist())) / 20)
+        assert len(part) == 20
+    assert len(hits) == 40 and np.mean(hits) > 0.95
+
+
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
@@ -208,7 +237,7 @@ def test_rates_meet_targets(spark):
         plain = np.maximum(0, plain - 0.9 * (p @ ((plain * w) @ p - target) + 1e-3 * (plain - 1)))
     cost = lambda x: 0.5 * (((x * w) @ p - target) ** 2).sum() + 5e-4 * (w * (x - 1) ** 2).sum()
     assert cost(r) == pytest.approx(cost(plain), abs=1e-5)
-    assert replay(p, [], 1e-3)[0].tolist() == [1.0] * 400
+    assert replay(p, [np.zeros(3)], 1e-3)[0].tolist() == [1.0] * 400
 
 
 def test_mixing_edge_cases(spark, docs_of):

@@ -23,6 +23,8 @@ class Config:
     wake_up_least: float = 0.25
     wake_up_budget: int = 3200
     wake_up_recent: int = 5
+    wake_up_synthesis_least: int = 1600
+    wake_up_tail_least: int = 600
     wake_up_semantic: int = 10
     admission_length: int = 80
     admission_symbols: float = 0.95

@@ -61,6 +61,10 @@ def short_hash(*parts: Column, sep: str = "|") -> Column:
     return F.left(F.sha2(x, 256), F.lit(16))
 
 
+#: A letter of an index term.
+TERM_LETTERS = r"[a-z0-9_\x{80}-\x{10FFFF}]"
+
+
 def tokens(x: Column, pattern: str = r"[^a-z0-9_\x{80}-\x{10FFFF}]+") -> Column:
     """Index terms: lower case, split at everything but letters, digits and underscore."""
     return F.filter(F.split(F.lower(x), pattern), lambda t: t != "")
@@ -103,27 +107,29 @@ def fixed_rooms():
             yield room, single
 
 
-def hall_scores(text: Column, halls: dict | None = None) -> dict[str, Column]:
-    """Keyword hits of each hall in the first 5000 characters (the detector's own limit)."""
-    t = F.lower(F.substring(text, 1, 5000))
-    out = {}
-    for hall, words in (halls or fixed.HALLS).items():
-        if not words:
-            continue
-        total = None
-        for w in dict.fromkeys(words):
-            whole, w = (True, w[1:]) if w[0] == "=" else (len(w) <= 3, w)
-            hits = count(t, r"(?<![\p{L}\p{N}])" + re.escape(w) + (r"(?![\p{L}\p{N}])" if whole else ""))
-            total = hits if total is None else total + hits
-        out[hall] = total
-    return out
-
-
 def hall_of_text(text: Column, halls: dict | None = None) -> Column:
-    """The hall of the most hits, the first of equals; ``general`` without any."""
-    scored = [F.struct(s.cast("int").alias("s"), F.lit(-i).alias("o"), F.lit(h).alias("h")) for i, (h, s) in enumerate(hall_scores(text, halls).items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["s"] > 0, best["h"]).otherwise("general")
+    """The hall of the most keyword hits in the first 5000 characters (the detector's own limit), the first of equals; ``general`` without any.
+
+    Words are split once, and only those that begin like a keyword are looked at further.
+    """
+    halls = {h: [(w[1:], True) if w[0] == "=" else (w, len(w) <= 3) for w in dict.fromkeys(words)] for h, words in (halls or fixed.HALLS).items() if words}
+    single = sorted({w[:3] for words in halls.values() for w, _ in words if w.isalnum()})
+
+    def hits(t: Column, word: str, whole: bool) -> Column:
+        return count(t, r"(?<![\p{L}\p{N}])" + re.escape(word) + (r"(?![\p{L}\p{N}])" if whole else ""))
+
+    def best(s: Column) -> Column:
+        scored = [
+            F.struct(sum((hits(s["few"] if w.isalnum() else s["all"], w, whole) for w, whole in words), F.lit(0)).cast("int").alias("s"), F.lit(-i).alias("o"), F.lit(h).alias("h"))
+            for i, (h, words) in enumerate(halls.items())
+        ]
+        return F.array_max(F.array(*scored))
+
+    low = F.lower(F.substring(text, 1, 5000))
+    few = F.array_join(F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: F.substring(w, 1, 3).isin(single)), " ")
+    # Bound to a lambda variable, so that the words are split once and not for every keyword.
+    found = F.transform(F.array(F.struct(few.alias("few"), low.alias("all"))), best)
+    return F.get(F.transform(found, lambda f: F.when(f["s"] > 0, f["h"]).otherwise("general")), F.lit(0))
 
 
 #: Cue words of the importance score (fixed values).

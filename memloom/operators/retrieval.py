@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
 from memloom.functions import vec as V
+from memloom.sources.store import written
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -37,12 +40,25 @@ def bm25(
     Only postings of the query's terms are built: terms filter before they are exploded.
     """
     terms = sorted({t for t in (query if isinstance(query, list) else query.lower().split())})
-    wanted = F.array(*[F.lit(t) for t in terms])
-    base = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms")).select(
-        "id", F.size("terms").alias("len"), F.filter("terms", lambda t: F.array_contains(wanted, t)).alias("hits")
+    low, mark = F.lower(F.col(text_col)), T.TERM_LETTERS
+    hit = f"(?<!{mark})(?:{'|'.join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) or '(?!)'})(?!{mark})"
+    # Texts are read once: what the query needs of them is small, and stored.
+    base = written(
+        docs.select(
+            F.col(id_col).alias("id"), F.coalesce(F.regexp_count(low, F.lit(mark + "+")), F.lit(0)).alias("len"), F.regexp_extract_all(low, F.lit(hit), 0).alias("hits")
+        )
     )
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    tf = base.select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return scored_terms(base.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")), base.select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), k, k1, b)
+
+
+def indexed(postings_: DataFrame, stats: DataFrame, query: str | list[str], k: int | None = 200, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``bm25`` from stored postings (term, id, tf, len) and their ``corpus_stats``: only the query's terms are read."""
+    terms = sorted({t for t in (query if isinstance(query, list) else query.lower().split())})
+    return scored_terms(stats, postings_.where(F.col("term").isin(terms)).select("id", "len", "term", "tf"), k, k1, b)
+
+
+def scored_terms(stats: DataFrame, tf: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
+    """(id, score) from one row of statistics and counts of the query's terms (id, len, term, tf)."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # df has a row a query term, stats one row: both sides are bounded by the query.
     scored = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
@@ -186,9 +202,19 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, query_col: str | Non
 
 
 def packed(df: DataFrame, budget: int, order: list, text_col: str = "text", partition: list[str] | None = None) -> DataFrame:
-    """The longest prefix, in order, whose lengths sum to ``budget`` at most, with the running sum."""
-    w = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(F.length(text_col)).over(w)).where(F.col("used") <= budget)
+    """The longest prefix, in order, whose lengths sum to ``budget`` at most, with the running sum.
+
+    Of rows that are not empty a prefix holds ``budget`` at most: the first so many are cut in each task, before
+    anything is summed in one place. Empty rows cost nothing and join where they stand.
+    """
+    keys = partition or []
+    size = F.coalesce(F.length(text_col), F.lit(0))
+    sized = df.withColumn("pk_size", size)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    solid = sized.where("pk_size > 0").withColumn("pk_n", place).where(F.col("pk_n") <= budget + 1).drop("pk_n")
+    every = solid.unionByName(sized.where("pk_size = 0"))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return every.withColumn("used", F.sum("pk_size").over(w)).where(F.col("used") <= budget).drop("pk_size")
 
 
 def around(df: DataFrame, anchor_id, n: int, time_col: str, id_col: str = "id") -> DataFrame:
@@ -206,9 +232,9 @@ def confidence_level(score: Column, high: float = 0.80, medium: float = 0.60, pr
     return F.when(score > high, "high").when(score > medium, "medium").when(score > proceed, "proceed").otherwise("low")
 
 
-def seed_guidance(has_seed: Column, score: Column, survivors: Column, least: float = 0.25) -> Column:
-    """What an agent should do after a wake-up: four bands."""
-    return F.when(~has_seed, "proceed").when(survivors > 0, "proceed").when(score < least, "verify").otherwise("ask_user")
+def seed_guidance(has_seed: Column, score: Column, survivors: Column, least: float = 0.25, enough: float = 0.40) -> Column:
+    """What an agent should do after a wake-up: go on, ask the user, or verify."""
+    return F.when(~has_seed | ((score >= enough) & (survivors >= 1)), "proceed").when(score >= least, "ask_user").otherwise("verify")
 
 
 def evidence_gate(results: DataFrame, least: float) -> DataFrame:
@@ -225,14 +251,14 @@ def merged_variants(variants: list[DataFrame], k: int) -> DataFrame:
 
 
 def hybrid(
-    docs: DataFrame, query: str, query_vec, k: int = 10, fetch: int = 200, weight: float = 0.5, kg: DataFrame | None = None, as_of=None
+    docs: DataFrame, query: str, query_vec, k: int = 10, fetch: int = 200, weight: float = 0.5, kg: DataFrame | None = None, as_of=None, words: DataFrame | None = None
 ) -> DataFrame:
     """Keyword and vector channels fused, boosted and diversified: (id, score, position).
 
     ``docs``: id, text, embedding and, if present, importance, last_accessed_at, access_count. ``kg``: (id,
-    confidence) from the graph channel. Only short lists (``fetch`` rows a channel) are ranked and fused.
+    confidence) from the graph channel; ``words``: the keyword channel (id, score), if an index gave it. Only short lists (``fetch`` rows a channel) are ranked and fused.
     """
-    words = bm25(docs, [t for t in query.lower().split() if t], fetch)
+    words = bm25(docs, [t for t in query.lower().split() if t], fetch) if words is None else words
     near = vector_topk(docs.where("embedding is not null").select("id", "embedding"), query_vec, fetch).select("id", "score")
     channels = [ranked(words, "bm25"), ranked(near, "cosine")]
     fused = rrf(channels)

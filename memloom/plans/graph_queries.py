@@ -304,7 +304,15 @@ def wiki_lint_counts(spark, d):
     return W.lint_counts(found)
 
 
-@query("pending_updates")
+@query(
+    "pending_updates",
+    """WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+    x AS (SELECT label, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM u), m AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL) GROUP BY 1),
+    s AS (SELECT u.label, vec_id, u, round(list_dot_product(u, m) / sqrt(list_dot_product(m, m)), 9) AS s FROM u JOIN m ON u.label = m.label),
+    p AS (SELECT vec_id, u FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1)
+    SELECT left(sha256('topic/page-' || p.vec_id || '|' || a.vec_id), 16) AS id, 'topic/page-' || p.vec_id AS page_path, a.vec_id::VARCHAR AS drawer_id, round(list_dot_product(a.u, p.u), 6) AS similarity
+    FROM u a JOIN p ON list_dot_product(a.u, p.u) >= 0.3 WHERE a.vec_id NOT IN (SELECT vec_id FROM p)""",
+)
 def pending_updates(spark, d):
     """Review queue: embeddings near a page's vector; the medoid of each label stands for a page."""
     from memloom.operators.cluster import medoids
@@ -312,7 +320,7 @@ def pending_updates(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster_id"))
     chosen = medoids(e).select("id")
     pages = e.join(chosen, "id", "left_semi").select(F.concat(F.lit("topic/page-"), F.col("id").cast("string")).alias("path"), "embedding")
-    return W.pending(e.join(chosen, "id", "left_anti").select(F.col("id").cast("string").alias("id"), "embedding"), pages, threshold=0.3)
+    return W.pending(e.join(chosen, "id", "left_anti").select(F.col("id").cast("string").alias("id"), "embedding"), pages, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 # Calibration ------------------------------------------------------------------------------------

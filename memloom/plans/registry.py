@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from memloom.plans import graph_queries, search_queries, text_queries  # noqa: F401  (they register themselves)
+    from memloom.plans import graph_queries, lookup_queries, search_queries, text_queries  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ from memloom.functions import vec as V
 from memloom.operators import cluster as C
 from memloom.operators import retrieval as R
 from memloom.plans.registry import query
-from memloom.plans.text_queries import table
+from memloom.plans.text_queries import table, texts
 
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
 _QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -157,7 +157,7 @@ _BM25 = f"""k AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(low
 
 
 def _bm(spark, d):
-    return R.bm25(table(spark, d, "documents"), list(TERMS), None, "doc_id").withColumn("score", F.round("score", 6))
+    return R.bm25(texts(spark, d, "documents", "doc_id", "text"), list(TERMS), None, "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query("bm25_topk", f"WITH {_BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 200")
@@ -304,7 +304,7 @@ def expansion_merge(spark, d):
 def hybrid_search(spark, d):
     """Keyword and vector channels with fusion, salience and diversification over documents with embeddings."""
     e = table(spark, d, "embeddings")
-    docs = table(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    docs = texts(spark, d, "documents", "doc_id", "text", "n_chars").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     rows = docs.select(F.col("doc_id").alias("id"), "text", "embedding", F.least(F.lit(1.0), F.col("n_chars") / 10000.0).alias("importance"))
     q = e.where("vec_id = 0").select("embedding").limit(1).first()[0]  # the question's own vector
     return R.hybrid(rows, " ".join(TERMS), q, 10)

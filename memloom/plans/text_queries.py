@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memloom.functions import fixed
 from memloom.functions import text as T
 from memloom.plans.registry import query
-from memloom.session import ship
+from memloom.session import ship, spread
 from memloom.sources import ingest as I
 
 
@@ -16,6 +16,11 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark, d, name, *columns):
+    """The named columns of a table of long texts, dealt out to all cores."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 @query(
     "content_ids",
     """SELECT doc_id, left(sha256(text), 16) AS id, text || ' ' || lang || ' ' || source AS fts_text,
@@ -66,19 +71,27 @@ _SPACED = r"' ' || regexp_replace(text, '([^\p{L}\p{N}_])', ' \1 ', 'g') || ' '"
       + least(0.20, len(regexp_extract_all(m, '[\x01\x02]({T.RELATIONS})\x02+[^\x02]+')) * 0.07)) END, 6) AS importance FROM s""",
 )
 def importance_scores(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.importance(F.col("text")), 6).alias("importance"))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.round(T.importance(F.col("text")), 6).alias("importance"))
 
 
-@query(
-    "typed_token_index",
-    r"""WITH s AS (SELECT conv_id, turn, text FROM conversations),
-    t AS (SELECT conv_id, turn, 'number' AS token_type, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^\p{L}\p{N}_.])', ' \1 ', 'g') || ' ', ' (\d+(\.\d+)?)\.? ', 1)) AS token_value FROM s)
-    SELECT DISTINCT conv_id, turn, token_type, regexp_replace(token_value, '^0+(\d)', '\1') AS token_value FROM t""",
-)
+@query("typed_token_index")
 def typed_token_index(spark, d):
-    """Number tokens of conversation turns (the other types are tested on literals)."""
+    """Typed tokens of conversation turns."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.explode(T.typed_tokens(F.col("text"))).alias("tok"))
-    return rows.where("tok.type = 'number'").select("conv_id", "turn", F.col("tok.type").alias("token_type"), F.col("tok.value").alias("token_value")).distinct()
+    return rows.select("conv_id", "turn", F.col("tok.type").alias("token_type"), F.col("tok.value").alias("token_value")).distinct()
+
+
+@query(
+    "typed_tokens_of_parts",
+    """SELECT p_partkey, unnest(['qualified', 'hex', 'number', 'arity', 'funcall']) AS token_type,
+    unnest(['Stock.Part' || p_partkey, '0x' || format('{:x}', p_partkey), p_size::VARCHAR, p_size::VARCHAR, 'load_' || p_partkey]) AS token_value FROM part""",
+)
+def typed_tokens_of_parts(spark, d):
+    """All five types, from one sentence a part."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("Stock.Part"), key, F.lit(" at 0x"), F.upper(F.hex("p_partkey")), F.lit(" takes "), size, F.lit(" args via load_"), key, F.lit(" (x)."))
+    rows = table(spark, d, "part").select("p_partkey", F.explode(T.typed_tokens(text)).alias("tok"))
+    return rows.select("p_partkey", F.col("tok.type").alias("token_type"), F.col("tok.value").alias("token_value"))
 
 
 @query("room_of_path", """SELECT page_id, CASE WHEN lower(url) LIKE '%/controllers/%' OR lower(url) LIKE '%/controller/%' THEN 'controllers'
@@ -109,7 +122,7 @@ def _hall_sql() -> str:
 
 @query("hall_of_text", _hall_sql())
 def hall_of_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.hall_of_text(F.col("text")).alias("hall"))
+    return texts(spark, d, "documents", "doc_id", "text").select("doc_id", T.hall_of_text(F.col("text")).alias("hall"))
 
 
 @query(
@@ -248,8 +261,10 @@ def sweep_report(spark, d):
 
 @query("chunks_topic_shift")
 def chunks_topic_shift(spark, d):
-    """Token-capped chunks of documents with overlap."""
-    return I.chunked(table(spark, d, "documents"), "doc_id", "text")
+    """Chunks of documents, cut where the embeddings of adjacent sentences differ."""
+    from memloom.seams import HashingEmbedder
+
+    return I.chunked(table(spark, d, "documents"), "doc_id", "text", HashingEmbedder().embed)
 
 
 @query("chunks_structural")
@@ -257,16 +272,36 @@ def chunks_structural(spark, d):
     return I.structural_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("numeric_facts")
+@query(
+    "numeric_facts",
+    """WITH p AS (SELECT p_partkey, p_partkey % 3 AS kind, p_size, p_brand FROM part),
+    f AS (SELECT p_partkey, p_brand, unnest(CASE kind
+        WHEN 0 THEN [{'s': 'Load', 'p': 'has_param_count', 'o': p_size::VARCHAR}, {'s': 'widget', 'p': 'has_version', 'o': '1.' || p_size}, {'s': 'It', 'p': 'returns_type', 'o': 'Task<int>'},
+                     {'s': 'Client', 'p': 'has_timeout', 'o': p_size || 's'}, {'s': 'Server', 'p': 'uses_port', 'o': (1000 + p_partkey % 9000)::VARCHAR}, {'s': p_size || 's.', 'p': 'has_value', 'o': '800'}]
+        WHEN 1 THEN [{'s': 'unknown', 'p': 'returns_type', 'o': 'bool'}, {'s': 'Open', 'p': 'uses_port', 'o': (2000 + p_partkey % 7000)::VARCHAR}]
+        ELSE [{'s': p_brand, 'p': 'uses_port', 'o': '8080'}] END) AS f FROM p)
+    SELECT p_partkey, f.s AS subject, f.p AS predicate, f.o AS object FROM f""",
+)
 def numeric_facts(spark, d):
-    """Facts with numbers found in conversations."""
-    return I.numeric_facts(table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text"), "id", "text")
+    """Facts with numbers from sentences on parts: named, looked back for, and with no subject near."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    full = F.concat(
+        F.lit("Load(a, b) takes "), size, F.lit(" args. widget v1."), size, F.lit(" here. Server port: "), (1000 + key % 9000).cast("string"),
+        F.lit(". It returns Task<int>. Client TIMEOUT: "), size, F.lit("s. chunk_size = 800"),
+    )
+    some = F.concat(F.lit("returns bool, as Open (x) and then, of all things, port "), (2000 + key % 7000).cast("string"))
+    text = F.when(key % 3 == 0, full).when(key % 3 == 1, some).otherwise(F.lit("port: 8080"))
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", text.alias("text"))
+    return I.numeric_facts(parts, "p_partkey", "text", F.col("p_brand")).drop("confidence")
+
+
+_QUESTION = "trade between nation_3 NATION_3 france germany and japan"
 
 
-@query("near_entities")
+@query("near_entities", f"SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE list_contains(string_split(lower('{_QUESTION}'), ' '), lower(n_name)) ORDER BY length(n_name) DESC, n_nationkey::VARCHAR LIMIT 5")
 def near_entities(spark, d):
-    """Entities of the nation table named in documents (whole words)."""
+    """Entities of the nation table named in one fixed question (whole words)."""
     from memloom.operators.graph import match_entities
 
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.lit("{}").alias("properties"))
-    return match_entities(nation, "trade between nation_3 NATION_3 france germany and japan", 5).select("id", "name")
+    return match_entities(nation, _QUESTION, 5).select("id", "name")

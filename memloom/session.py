@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,6 +32,21 @@ def build_session(app: str = "memloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: A row group of usual size; a table of fewer bytes a core may sit in fewer row groups than there are cores.
+ROW_GROUP_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small stored table dealt out to all cores.
+
+    A file is read by row groups, so a table of few of them keeps few cores busy, however much work a row is. Dealing
+    out so little data is cheap; larger tables have more row groups than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 20 < size < cores * ROW_GROUP_BYTES else df
+
+
 _shipped: set[str] = set()
 
 

@@ -52,10 +52,15 @@ def test_turns(spark):
     assert sorted((r["id"], r["content"]) for r in I.conversation_turns(df, "j", "id").collect()) == [(1, "hi"), (2, "plain")]
 
 
-def test_facts():
-    got = I.facts_of("Parse(x) takes 3 args. DuckDB v1.5.3 here. Server port: 5432. Client timeout: 30s")
-    assert ("Parse", "has_param_count", "3") in got and ("DuckDB", "has_version", "1.5.3") in got
-    assert ("Server", "has_port", "5432") in got and ("Client", "has_timeout", "30s") in got
+def test_facts(spark):
+    text = "Parse(x) takes 3 args. DuckDB v1.5.3 here. Server port: 5432. Client timeout: 30s"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "returns int. Then Run (y) was slow; its, well, long timeout: 5 min and port 8080 port 9090"), (4, "port: 80")], "id long, t string")
+    got = {(r["id"], r["subject"], r["predicate"], r["object"]) for r in I.numeric_facts(df, "id", "t", F.lit("room")).collect()}
+    want = {(1, "Parse", "has_param_count", "3"), (1, "DuckDB", "has_version", "1.5.3"), (1, "Server", "uses_port", "5432"), (1, "Client", "has_timeout", "30s")}
+    assert want <= got
+    assert {x for x in got if x[0] > 1} == {
+        (3, "unknown", "returns_type", "int"), (3, "long", "has_timeout", "5min"), (3, "and", "uses_port", "8080"), (3, "8080", "uses_port", "9090"), (4, "room", "uses_port", "80"),
+    }
 
 
 @pytest.mark.parametrize("most", [100, 400, 1800])
@@ -99,7 +104,7 @@ def test_memories_round_trip(spark, tmp_path):
 def test_memory_store(spark, tmp_path):
     p = MemoryStore(spark, str(tmp_path / "memories"))
     text = "We decided to keep the search index in memory because the latency budget is critical for every request we serve. "
-    rows = [("w", "r", text + "alpha", None), ("w", "r", text * 2 + "bravo storage engine compaction", None), ("w", "r", "short", None)]
+    rows = [("w", "r", text + "alpha", None), ("w", "r", "The bravo storage engine runs its compaction every night, and this is essential for the size of the files that it writes.", None), ("w", "r", "short", None)]
     out = p.add_memories(spark.createDataFrame(rows, "wing string, room string, content string, source string"))
     assert [r["reason"] for r in out.collect()].count("content too short") == 1
     assert p.drawers("w").count() == 2

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.operators.skew import with_groups
-from memloom.sources.store import written
+from memloom.sources.store import settled, written
 
 #: Far beyond the logarithm of any path; reaching it is an error.
 MOST_ROUNDS = 200
@@ -52,7 +52,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        then, now = mark, written(_round(now, mark[0]))
+        then, now = mark, settled(edges.sparkSession, lambda: _round(now, mark[0]))
         mark = _mark(now)
         if mark == then:
             break

@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder and all tasks run on this machine (tests).
 LOCAL_SHARED = "file:///tmp/checkpoints/memloom"
 _folders: set[str] = set()
+#: Paths written within the innermost ``settled``.
+_steps: ContextVar[list[str] | None] = ContextVar("memloom_steps", default=None)
+#: Spark then deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,18 +32,32 @@ def shared_folder(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _discarded(spark: SparkSession, folder: str) -> None:
     """Delete this application's written tables when the driver's Python ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def drop() -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone
-            fs.delete(path, True)
+            _delete(spark, folder)
 
     atexit.register(drop)
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files; for plans that run once."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once into the shared folder and read it back.
 
@@ -49,10 +69,28 @@ def written(df: DataFrame) -> DataFrame:
         _folders.add(folder)
         _discarded(spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
+    steps = _steps.get()
+    if steps is not None:
+        steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written; the tables that ``make`` wrote on its way are deleted. Only its result may be read later."""
+    steps: list[str] = []
+    token = _steps.set(steps)
+    try:
+        plan = make()
+    finally:
+        _steps.reset(token)
+    out = written(plan)
+    for path in steps:
+        _delete(spark, path)
+    return out
+
+
 def insert_absent(table: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """``table`` and the first row of each new key."""
     first = new.dropDuplicates([key])

@@ -124,7 +124,7 @@ class Sample:
 
     @staticmethod
     def of(rows: list[np.ndarray]) -> Sample:
-        return Sample(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([len(r) for r in rows]).astype(np.int64))
+        return Sample(np.concatenate([*rows, np.zeros(0, np.int32)], dtype=np.int32, casting="same_kind"), np.cumsum([len(r) for r in rows]).astype(np.int64))
 
     def __len__(self):
         return len(self.ends)
@@ -133,6 +133,13 @@ class Sample:
         starts = np.append(0, self.ends[:-1])
         return Sample.of([self.flat[starts[i] : self.ends[i]] for i in which])
 
+    def blocks(self, step: int = 256):
+        """(buckets, row of each) of some rows at a time; what is made of whole rows is then small."""
+        for i in range(0, len(self), step):
+            ends = self.ends[i : i + step]
+            first = self.ends[i - 1] if i else 0
+            yield self.flat[first : ends[-1]], np.repeat(np.arange(i, i + len(ends)), np.diff(ends, prepend=first))
+
 
 @dataclasses.dataclass(frozen=True)
 class LinearModel:
@@ -155,9 +162,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _sums(sample: Sample, weights: np.ndarray) -> np.ndarray:
-    total = np.vstack([np.zeros(weights.shape[1]), np.cumsum(weights[sample.flat], axis=0, dtype=np.float64)])
-    return total[sample.ends] - total[np.append(0, sample.ends[:-1])]
+def _sums(sample: Sample, weights: np.ndarray, step: int = 1024) -> np.ndarray:
+    out = np.zeros((len(sample), weights.shape[1]))
+    starts = np.append(0, sample.ends[:-1])
+    for i in range(0, len(sample), step):
+        a, b = starts[i : i + step], sample.ends[i : i + step]
+        total = np.vstack([np.zeros(weights.shape[1]), np.cumsum(weights[sample.flat[a[0] : b[-1]]], axis=0, dtype=np.float64)])
+        out[i : i + step] = total[b - a[0]] - total[a - a[0]]
+    return out
 
 
 def fit(sample: Sample, target: np.ndarray, extra: np.ndarray | None = None, steps: int = 60, rate: float = 0.15, ridge: float = 5e-4) -> LinearModel:
@@ -168,20 +180,27 @@ def fit(sample: Sample, target: np.ndarray, extra: np.ndarray | None = None, ste
     """
     n, k = target.shape
     extra = np.zeros((n, 0)) if extra is None else extra
-    freq = np.bincount(sample.flat, minlength=BUCKETS)
+    freq, seen = np.zeros(BUCKETS, np.int64), np.zeros((k, BUCKETS))
+    for flat, of_row in sample.blocks():
+        freq += np.bincount(flat, minlength=BUCKETS)
+        for j in range(k):
+            seen[j] += np.bincount(flat, weights=target[of_row, j], minlength=BUCKETS)
     mean = target.mean(0) if n else np.zeros(k)
-    of_row = np.repeat(np.arange(n), np.diff(np.append(0, sample.ends)))
     z = np.zeros(BUCKETS)
     for j in range(k):
-        seen = np.bincount(sample.flat, weights=target[of_row, j], minlength=BUCKETS)
         spread = np.sqrt(freq * mean[j] * (1 - mean[j]) * np.maximum(1 - freq / max(n, 1), 1e-9)) + 1e-9
-        z = np.maximum(z, np.abs(seen - freq * mean[j]) / spread)
+        z = np.maximum(z, np.abs(seen[j] - freq * mean[j]) / spread)
     live = np.flatnonzero((freq >= MIN_DOCS) & (z >= LEAST_Z))
-    place = np.full(BUCKETS, len(live))
+    place = np.full(BUCKETS, len(live), np.int32)
     place[live] = np.arange(len(live))
-    kept = place[sample.flat] < len(live)
-    ends = np.cumsum(np.add.reduceat(np.append(kept, False).astype(np.int64), np.append(0, sample.ends[:-1])) * (np.diff(np.append(0, sample.ends)) > 0)) if n else sample.ends
-    local = Sample(place[sample.flat[kept]], ends)
+    parts, counts = [np.zeros(0, np.int32)], np.zeros(n, np.int64)
+    for flat, of_row in sample.blocks():
+        at = place[flat]
+        kept = at < len(live)
+        parts.append(at[kept])
+        counts += np.bincount(of_row[kept], minlength=n)
+    ends = np.cumsum(counts)
+    local = Sample(np.concatenate(parts), ends)
     rows = np.repeat(np.arange(n), np.diff(np.append(0, ends)))
     size = len(live) + extra.shape[1] + 1
     w, m, v = np.zeros((size, k)), np.zeros((size, k)), np.zeros((size, k))

@@ -21,8 +21,10 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, tot
 
     ``n`` names the column with the rows of a key (or a number not below), ``total`` is the number of rows at least.
     Rows of hot keys stay where they are and get their group by broadcast, of ``HOT_KEYS`` rows at most; the
-    others are shuffled, and none of their keys is hot. ``rows`` is read twice: it should be a stored table.
+    others are shuffled, and none of their keys is hot; with fewer than ``LEAST_HOT`` rows no key can be. ``rows`` is read twice: it should be a stored table.
     """
+    if total < LEAST_HOT:
+        return rows.join(groups, keys)
     cut = hot_at(total)
     hot, cold = groups.where(F.col(n) >= cut), groups.where(F.col(n) < cut)
     spread = rows.join(F.broadcast(hot), keys)

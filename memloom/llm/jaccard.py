@@ -3,14 +3,18 @@
 First the SimHash operator's own search (``simhash.near_links``: pigeonhole blocks, verified by Hamming distance)
 links fingerprints of the sets within ``RADIUS`` bits, and these links are verified on the whole sets. At a similarity of
 0.8, however, fingerprints of 64 bits differ in ten bits on average, and blocks that guarantee ten or more bits are
-too short to tell documents apart; so texts that this leaves in different components meet once more through MinHash: ``BANDS`` bands of ``ROWS`` minima each, so a pair of similarity 0.8 shares
-no band with a chance of (1 - 0.8**6)**32, about 6 in 100 000, and one of 0.9 practically never. Every candidate is
-then verified on the whole sets, in integers.
-
-Sizes. Texts of equal sets are one node. No bucket compares all its pairs: in each of ``ROUNDS`` rounds one member
-of each component that a bucket holds meets one member of the bucket, others each round. That is linear
-in the bucket, and a group of near copies shrinks to few components in a round or two. What it can miss is a text
-whose only partner of 0.8 shares large buckets with many texts just below 0.8; the README has measured figures.
+too short to tell documents apart. What SimHash leaves apart therefore meets once more, by an exact way: order the
+shingles of each set by the number of sets that hold them, rarest first. Two sets of n and m shingles that are similar
+share at least 0.8 of the larger one, so the first shingle that they share is among the first n - ceil(0.8 n) + 1 of the one and
+the first m - ceil(0.8 m) + 1 of the other. Sets that share such a shingle (a bucket) and are in different components
+are all compared, in integers; nothing is sampled and no bucket is cut. Most shingles are in one set only and come first, so
+most sets have no bucket at all and need neither step.
+
+Sizes. Texts of equal sets are one node. Each node has a home, a part of bounded size of its largest bucket. In a bucket all nodes
+but those of its most frequent component visit the bucket's homes, so a group that is linked already costs one
+visit for each text that is not in it; a home meets its visitors one by one and gives links that join components, no more than it has rows.
+If visits would be many, one member of each component of a bucket first meets one other member, in rounds that are
+linear in the bucket, for as long as that saves visits; they save work only, the result is the same without them.
 """
 
 from __future__ import annotations
@@ -31,15 +35,18 @@ from memloom.llm.textcore import MULT_A, WordCache, mix, split_words, word_hash
 
 #: Differing bits of fingerprints that the blocks guarantee to find.
 RADIUS = 3
-BANDS, ROWS = 32, 6
-ROUNDS = 4
-#: Pairs up to which the nodes to verify are broadcast.
-BROADCAST_PAIRS = 500_000
+#: Shingles of a home, on average.
+HOME_SHINGLES = 65_536
+#: Visits for each row of a bucket from which rounds go first.
+MANY_VISITS = 4
+#: Rows up to which a narrow table is broadcast.
+BROADCAST_ROWS = 500_000
+#: Words whose hashes a task keeps, and shingles that it gathers before it sends them on.
+WORDS, HELD = 60_000, 250_000
 FOUND = pa.schema([
-    ("jc_row", pa.int64()), ("jc_id", pa.int64()), ("jc_node", pa.int64()), ("jc_size", pa.int64()), ("jc_keys", pa.list_(pa.int64())), ("jc_print", pa.int64()),
+    ("jc_row", pa.int64()), ("jc_id", pa.int64()), ("jc_node", pa.int64()), ("jc_size", pa.int64()), ("jc_print", pa.int64()), ("jc_set", pa.list_(pa.int64())),
 ])
-SETS = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+MET = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 
 def shingle_set(raw: bytes | None, width: int, hashes) -> np.ndarray:
@@ -56,13 +63,6 @@ def shingle_set(raw: bytes | None, width: int, hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(len(_SEEDS), (1 << 64) - 1, np.uint64)
-    for i in range(0, len(s), 512):  # bounded memory for very long texts
-        out = np.minimum(out, (s[None, i : i + 512] * _SEEDS[:, None]).min(1))
-    return out
-
-
 def set_print(s: np.ndarray) -> np.uint64:
     """64-bit SimHash of a set of hashes: bits set in over half of them."""
     counts = np.zeros(64, np.int64)
@@ -72,69 +72,82 @@ def set_print(s: np.ndarray) -> np.uint64:
 
 
 def _look(width: int):
-    """Node (a hash of the set), size, MinHash keys and fingerprint of each text; sets themselves are not sent back."""
+    """Node (a hash of the set), size, fingerprint and set of each text."""
 
     def run(batches):
-        hashes = WordCache(word_hash)
+        hashes = WordCache(word_hash, WORDS)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = []
-            for raw in raw_texts(batch, "jc_text"):
+            start, held, rows = 0, 0, []
+            for i, raw in enumerate(raw_texts(batch, "jc_text")):
                 s = shingle_set(raw, width, hashes)
-                # The band is the seed, so a key belongs to one band.
-                keys = [xxhash.xxh3_64_intdigest(x.tobytes(), i) for i, x in enumerate(minima(s).reshape(BANDS, ROWS))] if len(s) else []
-                rows.append((xxhash.xxh3_64_intdigest(s.tobytes()), len(s), longs(np.array(keys, np.uint64)), set_print(s)))
-            nodes, sizes, keys, prints = zip(*rows)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("jc_row"), batch.column("jc_id"), pa.array(longs(np.array(nodes, np.uint64))), pa.array(sizes, pa.int64()),
-                pa.array(keys, FOUND.field("jc_keys").type), pa.array(longs(np.array(prints, np.uint64))),
-            ], schema=FOUND)
+                rows.append((xxhash.xxh3_64_intdigest(s.tobytes()), len(s), set_print(s), longs(s)))
+                held += len(s)
+                if held > HELD or i + 1 == batch.num_rows:
+                    part = batch.slice(start, i + 1 - start)
+                    nodes, sizes, prints, sets = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column("jc_row"), part.column("jc_id"), pa.array(longs(np.array(nodes, np.uint64))), pa.array(sizes, pa.int64()),
+                        pa.array(longs(np.array(prints, np.uint64))), pa.array(sets, FOUND.field("jc_set").type),
+                    ], schema=FOUND)
+                    start, held, rows = i + 1, 0, []
 
     return run
 
 
-def _sets(width: int):
-    def run(batches):
-        hashes = WordCache(word_hash)
-        for batch in batches:
-            nodes, sets, held = [], [], 0
-            for i, (node, raw) in enumerate(zip(batch.column("node").to_pylist(), raw_texts(batch, "jc_text"))):
-                nodes.append(node)
-                sets.append(longs(shingle_set(raw, width, hashes)))
-                held += len(sets[-1])
-                if held > 500_000 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, SETS.field("s").type)], schema=SETS)
-                    nodes, sets, held = [], [], 0
-
-    return run
+def _narrow(df: DataFrame) -> DataFrame:
+    """A stored narrow table, broadcast if its checked size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """One row of each node."""
+    rows = found.select("jc_node", "jc_pos")
+    many = rows.groupBy("jc_node").agg(F.min("jc_pos").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(with_groups(rows, many, ["jc_node"], "n", found.count()).where("jc_pos <> first").select("jc_pos"))
+    return found.join(_narrow(again), "jc_pos", "left_anti")
+
+
+def _buckets(once: DataFrame, percent: int) -> DataFrame:
+    """(k, jc_node, jc_size, home) of all buckets of two or more nodes; see the module's first lines."""
+    held = once.select("jc_node", "jc_size", F.explode("jc_set").alias("k"))
+    total = once.agg(F.sum("jc_size")).first()[0] or 0
+    counts = materialize(held.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = with_groups(held, counts, ["k"], "n", total)
+    # Shingles of one set only come first; what they leave of the first shingles goes by number and hash.
+    sets = shared.groupBy("jc_node", "jc_size").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("l"))
+    least = F.expr(f"({percent} * jc_size + 99) div 100")
+    first = sets.where(F.size("l") >= least).select("jc_node", "jc_size", F.explode(F.expr(f"slice(l, 1, size(l) - int(({percent} * jc_size + 99) div 100) + 1)")).alias("e"))
+    rows = materialize(first.select("jc_node", "jc_size", F.col("e.k").alias("k")))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("jc_size").alias("all")).where("n > 1")
+    sized = materialize(with_groups(rows, sizes, ["k"], "n", rows.count()))
+    largest = sized.groupBy("jc_node").agg(F.max(F.struct("n", "k", "all")).alias("m"))
+    part = F.pmod(F.xxhash64("jc_node"), F.ceil(F.col("m.all") / HOME_SHINGLES))
+    homes = largest.select("jc_node", F.xxhash64("m.k", part).alias("home"))
+    return sized.select("k", "jc_node", "jc_size").join(homes, "jc_node").select("k", "jc_node", "jc_size", "home")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have that similarity or more."""
+    s, t = (sets.select(F.col("jc_node").alias(x), F.col("jc_set").alias(y)) for x, y in (("a", "s"), ("b", "t")))
+    shared = F.size(F.array_intersect("s", "t"))
+    return pairs.join(s, "a").join(t, "b").where((100 + percent) * shared >= percent * (F.size("s") + F.size("t"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, base: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have that similarity or more; ``places`` names a row (jc_row) of each node."""
-    named = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-    rows = places.join(named, "node", "left_semi")
-    # Checked size, of 16 bytes a row: all other texts then stay where they are.
-    rows = F.broadcast(rows) if pairs.count() <= BROADCAST_PAIRS else rows
-    texts = base.join(rows, "jc_row").select("node", "jc_text")
-    wanted = materialize(texts.mapInArrow(_sets(width), "node long, s array<long>").dropDuplicates(["node"]))
-    both = pairs.join(wanted.toDF("a", "s"), "a").join(wanted.toDF("b", "t"), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where((100 + percent) * shared >= percent * (F.size("s") + F.size("t"))).select("a", "b")
+def _ends(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The components (x, y) of linked nodes (a, b)."""
+    return links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").where("x <> y").select("x", "y").distinct()
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (jc_node, root) after the links (a, b) of nodes join their components."""
-    ends = links.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b").where("x <> y").select("x", "y").distinct()
+def _merged(roots: DataFrame, ends: DataFrame) -> DataFrame:
+    """``roots`` (jc_node, root) after the linked components (x, y) are joined."""
     moved = materialize(components(ends, "x", "y").toDF("root", "to"))
-    # Checked size: a component may hold very many nodes, which then need not meet in one task.
-    moved = F.broadcast(moved) if moved.count() <= BROADCAST_PAIRS else moved
-    return roots.join(moved, "root", "left").select("jc_node", F.coalesce("to", "root").alias("root"))
+    # A component may hold very many nodes, which then need not meet in one task.
+    return roots.join(_narrow(moved), "root", "left").select("jc_node", F.coalesce("to", "root").alias("root"))
 
 
-def _close(found: DataFrame) -> DataFrame:
+def _close(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that connect all whose fingerprints are within ``RADIUS`` bits."""
-    by_print = found.select("jc_node", F.col("jc_print").alias("sh_print")).distinct()
+    by_print = sets.select("jc_node", F.col("jc_print").alias("sh_print"))
     lead = by_print.groupBy("sh_print").agg(F.min("jc_node").alias("lead"), F.count(F.lit(1)).alias("n"))
     same = with_groups(by_print, lead.where("n > 1"), ["sh_print"], "n", by_print.count()).where("jc_node <> lead").select(F.col("lead").alias("x"), F.col("jc_node").alias("y"))
     near = near_links(lead.select("sh_print"), RADIUS)
@@ -143,31 +156,113 @@ def _close(found: DataFrame) -> DataFrame:
     return same.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _buckets(found: DataFrame) -> DataFrame:
-    """(k, jc_node, jc_size) of MinHash buckets of two or more nodes."""
-    nodes = found.dropDuplicates(["jc_node"])
-    keyed = materialize(nodes.select(F.explode("jc_keys").alias("k"), "jc_node", "jc_size"))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return with_groups(keyed, sizes, ["k"], "n", keyed.count()).select("k", "jc_node", "jc_size")
-
-
-def _met(buckets: DataFrame, roots: DataFrame, tried: DataFrame | None, number: int, percent: int) -> DataFrame:
-    """New pairs (a, b) of one member of each component of a bucket with one of another."""
+def _met(buckets: DataFrame, roots: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one member of each component of a bucket with one of another, others for each number."""
     order = F.xxhash64(F.lit(number), "jc_node")
-    # Components that met already send one member each, another one each round.
     one = buckets.join(roots, "jc_node").groupBy("k", "root").agg(F.min_by(F.struct(F.col("jc_node").alias("node"), F.col("jc_size").alias("size")), order).alias("m"))
     one = materialize(one)
     whole = F.struct("root", "m")
     centres = one.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by(whole, F.xxhash64(F.lit(number), F.col("m.node"))).alias("centre")).where("n > 1")
     few, many = F.least("m.size", "centre.m.size"), F.greatest("m.size", "centre.m.size")
-    pairs = (
+    return (
         with_groups(one, centres, ["k"], "n", one.count()).where("root <> centre.root")
         # Similarity is at most the ratio of the sizes.
         .where(100 * few >= percent * many)
         .select(F.least("m.node", "centre.m.node").alias("a"), F.greatest("m.node", "centre.m.node").alias("b"))
         .distinct()
     )
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k, n, major, minor, homes) of buckets of several components: rows, most frequent component, rows of others, homes."""
+    placed = buckets.join(roots, "jc_node")
+    by_root = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("n"))
+    whole = by_root.groupBy("k").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).where("n > m.n")
+    homes = buckets.groupBy("k").agg(F.collect_set("home").alias("homes"))
+    return whole.join(homes, "k").select("k", "n", F.col("m.root").alias("major"), (F.col("n") - F.col("m.n")).alias("minor"), "homes")
+
+
+def _visits(buckets: DataFrame, roots: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(jc_node, home): of nodes of different components in a bucket one visits the other's home at least."""
+    placed = materialize(buckets.join(roots, "jc_node").select("k", "jc_node", "root"))
+    others = with_groups(placed, mixed, ["k"], "n", placed.count()).where("root <> major")
+    return others.select("jc_node", F.explode("homes").alias("home")).distinct()
+
+
+def _meet(percent: int):
+    """Links that connect all similar sets of a home and its visitors; rows come by home, those who live there first."""
+
+    def run(batches):
+        home, index = None, None
+        for batch in batches:
+            x, y = [], []
+            columns = (batch.column(c) for c in ("home", "guest", "root", "jc_set"))
+            for at, guest, root, s in zip(*columns):
+                at, root, s = at.as_py(), root.as_py(), s.values.to_numpy()
+                if at != home:
+                    home, index, lives, sets, joined = at, None, [], [], {}
+                if not guest.as_py():
+                    lives.append(root)
+                    sets.append(s)
+                    continue
+                if index is None:
+                    tokens, sizes, there = np.concatenate(sets), np.array([len(t) for t in sets]), np.array(lives, np.int64)
+                    order = np.argsort(tokens)
+                    index, who, sets = tokens[order], np.repeat(np.arange(len(sizes)), sizes)[order], []
+                low, high = np.searchsorted(index, s, "left"), np.searchsorted(index, s, "right")
+                n = high - low
+                places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(who[places], minlength=len(sizes))
+                for other in np.unique(there[(100 + percent) * shared >= percent * (sizes + len(s))]).tolist():
+                    a, b = _top(joined, root), _top(joined, other)
+                    if a != b:
+                        joined[max(a, b)] = min(a, b)
+                        x.append(root)
+                        y.append(other)
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=MET)
+
+    return run
+
+
+def _top(joined: dict[int, int], x: int) -> int:
+    while x in joined:
+        if joined[x] in joined:
+            joined[x] = joined[joined[x]]
+        x = joined[x]
+    return x
+
+
+def _rest(buckets: DataFrame, sets: DataFrame, roots: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Components (x, y) that hold similar sets, so that all similar sets of buckets are connected."""
+    visits = materialize(_visits(buckets, roots, mixed))
+    known = sets.select("jc_node", "home", "jc_set").join(roots, "jc_node")
+    own = known.join(visits.select("home").distinct(), "home", "left_semi").select("home", F.lit(False).alias("guest"), "root", "jc_set")
+    guests = visits.join(known.drop("home"), "jc_node").select("home", F.lit(True).alias("guest"), "root", "jc_set")
+    by_home = own.unionByName(guests).repartition("home").sortWithinPartitions("home", "guest")
+    return by_home.mapInArrow(_meet(percent), "x long, y long").distinct()
+
+
+def _connected(once: DataFrame, percent: int) -> DataFrame:
+    """(jc_node, root) of the nodes that are in a bucket."""
+    spark = once.sparkSession
+    buckets = settled(spark, lambda: _buckets(once, percent))
+    places = buckets.select("jc_node", "home").distinct()
+    sets = materialize(once.select("jc_node", "jc_print", "jc_set").join(_narrow(materialize(places)), "jc_node"))
+    roots = sets.select("jc_node", F.col("jc_node").alias("root"))
+    if sets.isEmpty():
+        return roots
+    close = settled(spark, lambda: _verified(_close(sets), sets, percent))
+    roots = settled(spark, lambda: _merged(roots, _ends(close, roots)))
+    rows, number, before = buckets.count(), 0, float("inf")
+    while True:
+        mixed = settled(spark, lambda: _mixed(buckets, roots))
+        visits = mixed.agg(F.sum(F.col("minor") * F.size("homes"))).first()[0] or 0
+        if visits <= MANY_VISITS * rows or visits > 0.75 * before:
+            break
+        links = settled(spark, lambda: _verified(_met(buckets, roots, number, percent), sets, percent))
+        roots, number, before = settled(spark, lambda: _merged(roots, _ends(links, roots))), number + 1, visits
+    return settled(spark, lambda: _merged(roots, _rest(buckets, sets, roots, mixed, percent))) if visits else roots
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
@@ -175,31 +270,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is ``percent`` / 100 or
     more; texts without words (and null) are equal. Repeated rows give repeated rows; an empty table gives none.
-    ``docs`` is read once and again for each set of candidates, so it should be a stored table.
     """
-    spark = docs.sparkSession
     base = prepared(docs, id_col, text_col).select(
         row_key(id_col, text_col).alias("jc_row"), F.col(id_col).cast("long").alias("jc_id"), F.col(text_col).alias("jc_text")
     )
 
     def whole() -> DataFrame:
-        shape = "jc_row long, jc_id long, jc_node long, jc_size long, jc_keys array<long>, jc_print long"
-        found = materialize(base.mapInArrow(_look(width), shape))
-        places = materialize(found.groupBy(F.col("jc_node").alias("node")).agg(F.min("jc_row").alias("jc_row")))
-
-        def verified(pairs: DataFrame) -> DataFrame:
-            return _verified(pairs, base, places, width, percent)
-
-        close = settled(spark, lambda: _close(found))
-        alone = places.select(F.col("node").alias("jc_node"), F.col("node").alias("root"))
-        roots = settled(spark, lambda: _merged(alone, verified(close)))
-        buckets, tried = settled(spark, lambda: _buckets(found)), None
-        for number in range(ROUNDS):
-            pairs = settled(spark, lambda: _met(buckets, roots, tried, number, percent))
-            if pairs.isEmpty():
-                break
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            roots = settled(spark, lambda: _merged(roots, verified(pairs)))
-        return found.join(roots, "jc_node").select("jc_row", "jc_id", F.col("root").alias("jc_root"))
-
-    return settled(spark, whole)
+        shape = "jc_row long, jc_id long, jc_node long, jc_size long, jc_print long, jc_set array<long>"
+        found = materialize(base.mapInArrow(_look(width), shape).withColumn("jc_pos", F.monotonically_increasing_id()))
+        moved = materialize(_connected(_once(found), percent).where("root <> jc_node"))
+        return found.join(_narrow(moved), "jc_node", "left").select("jc_row", "jc_id", F.coalesce("root", "jc_node").alias("jc_root"))
+
+    return settled(docs.sparkSession, whole)

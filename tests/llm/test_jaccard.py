@@ -67,3 +67,28 @@ def test_stage_decides_per_row(spark, docs_of, words_of):
     rows = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, a + " x"), (2, c)]
     got = sorted(((r["doc_id"], r["text"]) for r in P.near_dedup_stage(spark, docs_of(rows), "").collect()), key=str)
     assert got == sorted([(1, b), (2, c), (2, a + " x")], key=str)
+
+
+def crowd(words_of):
+    """Texts of which most are just below 0.8 of each other, with a partner of 0.8 for some."""
+    base, r, texts = words_of(200, 77), random.Random(5), []
+    for k in range(300):
+        places = r.sample(range(5, 195), 3)
+        words = [f"w{k}x{i}" if i in places else w for i, w in enumerate(base)]
+        texts.append(" ".join(words))
+        if k % 5 == 0:
+            texts.append(edited(words, r.sample(range(5, 195), 4)))
+    return texts
+
+
+def test_no_partner_is_lost_in_a_crowd(docs_of, words_of, monkeypatch):
+    texts = crowd(words_of)
+    want = partition(brute_roots(texts))
+    assert 60 < len(want) < 350
+    got = {r["jc_id"]: r["jc_root"] for r in jaccard.near_copies(docs_of(texts)).collect()}
+    assert partition([got[i] for i in range(len(texts))]) == want
+    # Several homes a bucket, and rounds before the visits.
+    monkeypatch.setattr(jaccard, "HOME_SHINGLES", 4000)
+    monkeypatch.setattr(jaccard, "MANY_VISITS", 0)
+    got = {r["jc_id"]: r["jc_root"] for r in jaccard.near_copies(docs_of(texts)).collect()}
+    assert partition([got[i] for i in range(len(texts))]) == want

@@ -7,8 +7,9 @@ too short to tell documents apart. What SimHash leaves apart therefore meets onc
 shingles of each set by the number of sets that hold them, rarest first. Two sets of n and m shingles that are similar
 share at least 0.8 of the larger one, so the first shingle that they share is among the first n - ceil(0.8 n) + 1 of the one and
 the first m - ceil(0.8 m) + 1 of the other. Sets that share such a shingle (a bucket) and are in different components
-are all compared, in integers; nothing is sampled and no bucket is cut. Most shingles are in one set only and come first, so
-most sets have no bucket at all and need neither step.
+are all compared, in integers; no bucket is cut. Most shingles are in one set only and come first, so most sets have no
+bucket at all. Most of those are found from the shingles of hash below ``SOME`` alone: a set that has a similar one lacks at most
+n - ceil(0.8 n) of its shingles there, so a set of which more are nowhere else has none. Only the others are counted whole, among themselves.
 
 Sizes. Texts of equal sets are one node. Each node has a home, a part of bounded size of its largest bucket. In a bucket all nodes
 but those of its most frequent component visit the bucket's homes, so a group that is linked already costs one
@@ -35,6 +36,8 @@ from memloom.llm.textcore import MULT_A, WordCache, mix, split_words, word_hash
 
 #: Differing bits of fingerprints that the blocks guarantee to find.
 RADIUS = 3
+#: Part of all shingles that is counted for all sets.
+SOME = 0.3
 #: Shingles of a home, on average.
 HOME_SHINGLES = 65_536
 #: Visits for each row of a bucket from which rounds go first.
@@ -44,8 +47,9 @@ BROADCAST_ROWS = 500_000
 #: Words whose hashes a task keeps, and shingles that it gathers before it sends them on.
 WORDS, HELD = 60_000, 250_000
 FOUND = pa.schema([
-    ("jc_row", pa.int64()), ("jc_id", pa.int64()), ("jc_node", pa.int64()), ("jc_size", pa.int64()), ("jc_print", pa.int64()), ("jc_set", pa.list_(pa.int64())),
+    ("jc_row", pa.int64()), ("jc_id", pa.int64()), ("jc_node", pa.int64()), ("jc_size", pa.int64()), ("jc_some", pa.list_(pa.int64())),
 ])
+SETS = pa.schema([("jc_node", pa.int64()), ("jc_size", pa.int64()), ("jc_print", pa.int64()), ("jc_set", pa.list_(pa.int64()))])
 MET = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 
@@ -71,29 +75,46 @@ def set_print(s: np.ndarray) -> np.uint64:
     return np.packbits(2 * counts > len(s), bitorder="little").view(np.uint64)[0]
 
 
-def _look(width: int):
-    """Node (a hash of the set), size, fingerprint and set of each text."""
+def _by_text(schema: pa.Schema, width: int, columns):
+    """Batches of bounded size of the columns that ``columns`` makes of a batch's rows and their sets."""
 
     def run(batches):
         hashes = WordCache(word_hash, WORDS)
         for batch in batches:
-            start, held, rows = 0, 0, []
+            start, held, sets = 0, 0, []
             for i, raw in enumerate(raw_texts(batch, "jc_text")):
-                s = shingle_set(raw, width, hashes)
-                rows.append((xxhash.xxh3_64_intdigest(s.tobytes()), len(s), set_print(s), longs(s)))
-                held += len(s)
+                sets.append(shingle_set(raw, width, hashes))
+                held += len(sets[-1])
                 if held > HELD or i + 1 == batch.num_rows:
-                    part = batch.slice(start, i + 1 - start)
-                    nodes, sizes, prints, sets = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([
-                        part.column("jc_row"), part.column("jc_id"), pa.array(longs(np.array(nodes, np.uint64))), pa.array(sizes, pa.int64()),
-                        pa.array(longs(np.array(prints, np.uint64))), pa.array(sets, FOUND.field("jc_set").type),
-                    ], schema=FOUND)
-                    start, held, rows = i + 1, 0, []
+                    made = columns(batch.slice(start, i + 1 - start), sets)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, schema)], schema=schema)
+                    start, held, sets = i + 1, 0, []
 
     return run
 
 
+def _look(width: int):
+    """Node (a hash of the set), size and shingles of low hash of each text."""
+    limit = np.uint64(int(SOME * (1 << 64)))
+
+    def columns(batch, sets):
+        nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
+        some = [longs(s[: np.searchsorted(s, limit)]) for s in sets]
+        return batch.column("jc_row"), batch.column("jc_id"), longs(nodes), [len(s) for s in sets], some
+
+    return _by_text(FOUND, width, columns)
+
+
+def _whole(width: int):
+    """Size, fingerprint and set of each text."""
+
+    def columns(batch, sets):
+        prints = np.array([set_print(s) for s in sets], np.uint64)
+        return batch.column("jc_node"), [len(s) for s in sets], longs(prints), [longs(s) for s in sets]
+
+    return _by_text(SETS, width, columns)
+
+
 def _narrow(df: DataFrame) -> DataFrame:
     """A stored narrow table, broadcast if its checked size allows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -107,19 +128,36 @@ def _once(found: DataFrame) -> DataFrame:
     return found.join(_narrow(again), "jc_pos", "left_anti")
 
 
-def _buckets(once: DataFrame, percent: int) -> DataFrame:
+def _least(percent: int):
+    """Shingles of a set that a similar one holds at least."""
+    return F.expr(f"int(({percent} * jc_size + 99) div 100)")
+
+
+def _able(once: DataFrame, percent: int) -> DataFrame:
+    """(jc_row, jc_node) of all sets that can have a similar one, by the shingles in ``jc_some``."""
+    held = once.select("jc_pos", F.explode("jc_some").alias("k"))
+    total = once.agg(F.sum(F.size("jc_some"))).first()[0] or 0
+    counts = materialize(held.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = with_groups(held, counts, ["k"], "n", total).groupBy("jc_pos").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = once.select("jc_pos", "jc_row", "jc_node", "jc_size", F.size("jc_some").alias("some")).join(shared, "jc_pos", "left")
+    lacks = F.col("some") - F.coalesce("shared", F.lit(0))
+    return sizes.where((F.col("jc_size") > 0) & (lacks <= F.col("jc_size") - _least(percent))).select("jc_row", "jc_node")
+
+
+def _buckets(sets: DataFrame, percent: int) -> DataFrame:
     """(k, jc_node, jc_size, home) of all buckets of two or more nodes; see the module's first lines."""
-    held = once.select("jc_node", "jc_size", F.explode("jc_set").alias("k"))
-    total = once.agg(F.sum("jc_size")).first()[0] or 0
+    held = sets.select("jc_node", "jc_size", F.explode("jc_set").alias("k"))
+    total = sets.agg(F.sum("jc_size")).first()[0] or 0
     counts = materialize(held.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = with_groups(held, counts, ["k"], "n", total)
     # Shingles of one set only come first; what they leave of the first shingles goes by number and hash.
-    sets = shared.groupBy("jc_node", "jc_size").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("l"))
-    least = F.expr(f"({percent} * jc_size + 99) div 100")
-    first = sets.where(F.size("l") >= least).select("jc_node", "jc_size", F.explode(F.expr(f"slice(l, 1, size(l) - int(({percent} * jc_size + 99) div 100) + 1)")).alias("e"))
+    ordered = shared.groupBy("jc_node", "jc_size").agg(F.sort_array(F.collect_list(F.struct("n", "k"))).alias("l"))
+    left = F.size("l") - _least(percent) + 1
+    first = ordered.where(left > 0).select("jc_node", "jc_size", F.explode(F.slice("l", F.lit(1), left)).alias("e"))
     rows = materialize(first.select("jc_node", "jc_size", F.col("e.k").alias("k")))
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("jc_size").alias("all")).where("n > 1")
     sized = materialize(with_groups(rows, sizes, ["k"], "n", rows.count()))
+    # Similar texts have their largest bucket in common most often.
     largest = sized.groupBy("jc_node").agg(F.max(F.struct("n", "k", "all")).alias("m"))
     part = F.pmod(F.xxhash64("jc_node"), F.ceil(F.col("m.all") / HOME_SHINGLES))
     homes = largest.select("jc_node", F.xxhash64("m.k", part).alias("home"))
@@ -243,12 +281,12 @@ def _rest(buckets: DataFrame, sets: DataFrame, roots: DataFrame, mixed: DataFram
     return by_home.mapInArrow(_meet(percent), "x long, y long").distinct()
 
 
-def _connected(once: DataFrame, percent: int) -> DataFrame:
-    """(jc_node, root) of the nodes that are in a bucket."""
-    spark = once.sparkSession
-    buckets = settled(spark, lambda: _buckets(once, percent))
-    places = buckets.select("jc_node", "home").distinct()
-    sets = materialize(once.select("jc_node", "jc_print", "jc_set").join(_narrow(materialize(places)), "jc_node"))
+def _connected(sets: DataFrame, percent: int) -> DataFrame:
+    """(jc_node, root) of the nodes of ``sets`` that are in a bucket."""
+    spark = sets.sparkSession
+    buckets = settled(spark, lambda: _buckets(sets, percent))
+    homes = materialize(buckets.select("jc_node", "home").distinct())
+    sets = settled(spark, lambda: sets.join(_narrow(homes), "jc_node"))
     roots = sets.select("jc_node", F.col("jc_node").alias("root"))
     if sets.isEmpty():
         return roots
@@ -270,15 +308,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is ``percent`` / 100 or
     more; texts without words (and null) are equal. Repeated rows give repeated rows; an empty table gives none.
+    ``docs`` is read once and again for the sets of texts that may be similar, so it should be a stored table.
     """
+    spark = docs.sparkSession
     base = prepared(docs, id_col, text_col).select(
         row_key(id_col, text_col).alias("jc_row"), F.col(id_col).cast("long").alias("jc_id"), F.col(text_col).alias("jc_text")
     )
 
+    def looked() -> DataFrame:
+        shape = "jc_row long, jc_id long, jc_node long, jc_size long, jc_some array<long>"
+        return base.mapInArrow(_look(width), shape).withColumn("jc_pos", F.monotonically_increasing_id())
+
+    def sets_of(able: DataFrame) -> DataFrame:
+        texts = base.join(_narrow(able), "jc_row").select("jc_node", "jc_text")
+        return texts.mapInArrow(_whole(width), "jc_node long, jc_size long, jc_print long, jc_set array<long>").dropDuplicates(["jc_node"])
+
     def whole() -> DataFrame:
-        shape = "jc_row long, jc_id long, jc_node long, jc_size long, jc_print long, jc_set array<long>"
-        found = materialize(base.mapInArrow(_look(width), shape).withColumn("jc_pos", F.monotonically_increasing_id()))
-        moved = materialize(_connected(_once(found), percent).where("root <> jc_node"))
+        found = materialize(looked())
+        able = settled(spark, lambda: _able(_once(found), percent))
+        sets = materialize(sets_of(able))
+        moved = settled(spark, lambda: _connected(sets, percent).where("root <> jc_node"))
         return found.join(_narrow(moved), "jc_node", "left").select("jc_row", "jc_id", F.coalesce("root", "jc_node").alias("jc_root"))
 
-    return settled(docs.sparkSession, whole)
+    return settled(spark, whole)

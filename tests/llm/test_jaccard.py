@@ -92,3 +92,16 @@ def test_no_partner_is_lost_in_a_crowd(docs_of, words_of, monkeypatch):
     monkeypatch.setattr(jaccard, "MANY_VISITS", 0)
     got = {r["jc_id"]: r["jc_root"] for r in jaccard.near_copies(docs_of(texts)).collect()}
     assert partition([got[i] for i in range(len(texts))]) == want
+
+
+def test_only_texts_that_may_have_a_partner_are_counted_whole(spark, docs_of, words_of, monkeypatch):
+    lonely = [" ".join(words_of(150, 2000 + i)) for i in range(60)]
+    texts = [*some(words_of), *lonely]
+    seen = []
+    whole = jaccard._connected
+    monkeypatch.setattr(jaccard, "_connected", lambda sets, percent: (seen.append(sets.count()), whole(sets, percent))[1])
+    got = {r["jc_id"]: r["jc_root"] for r in jaccard.near_copies(docs_of(texts)).collect()}
+    roots = brute_roots(texts)
+    assert partition([got[i] for i in range(len(texts))]) == partition(roots)
+    # All 48 texts of the six families at most, the three short ones and few of the 70 others.
+    assert len({str(s) for s in brute_sets(texts)}) > 110 and seen[0] < 60

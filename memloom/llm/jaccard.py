@@ -38,8 +38,8 @@ from memloom.llm.textcore import MULT_A, WordCache, mix, split_words, word_hash
 RADIUS = 3
 #: Part of all shingles that is counted for all sets.
 SOME = 0.3
-#: Shingles of a home, on average.
-HOME_SHINGLES = 65_536
+#: Shingles of a home, and visitors that it meets in one place, on average.
+HOME_SHINGLES, HOME_VISITS = 32_768, 128
 #: Visits for each row of a bucket from which rounds go first.
 MANY_VISITS = 4
 #: Rows up to which a narrow table is broadcast.
@@ -234,9 +234,9 @@ def _meet(percent: int):
         home, index = None, None
         for batch in batches:
             x, y = [], []
-            columns = (batch.column(c) for c in ("home", "guest", "root", "jc_set"))
-            for at, guest, root, s in zip(*columns):
-                at, root, s = at.as_py(), root.as_py(), s.values.to_numpy()
+            columns = (batch.column(c) for c in ("home", "slot", "guest", "root", "jc_set"))
+            for place, slot, guest, root, s in zip(*columns):
+                at, root, s = (place.as_py(), slot.as_py()), root.as_py(), s.values.to_numpy()
                 if at != home:
                     home, index, lives, sets, joined = at, None, [], [], {}
                 if not guest.as_py():
@@ -275,9 +275,13 @@ def _rest(buckets: DataFrame, sets: DataFrame, roots: DataFrame, mixed: DataFram
     """Components (x, y) that hold similar sets, so that all similar sets of buckets are connected."""
     visits = materialize(_visits(buckets, roots, mixed))
     known = sets.select("jc_node", "home", "jc_set").join(roots, "jc_node")
-    own = known.join(visits.select("home").distinct(), "home", "left_semi").select("home", F.lit(False).alias("guest"), "root", "jc_set")
-    guests = visits.join(known.drop("home"), "jc_node").select("home", F.lit(True).alias("guest"), "root", "jc_set")
-    by_home = own.unionByName(guests).repartition("home").sortWithinPartitions("home", "guest")
+    slots = visits.groupBy("home").agg(F.count(F.lit(1)).alias("n")).withColumn("slots", F.ceil(F.col("n") / HOME_VISITS))
+    slots = materialize(slots)
+    # A home of many visitors is copied, and each copy meets a part of them.
+    own = known.join(slots, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(False).alias("guest"), "root", "jc_set")
+    placed = with_groups(visits, slots, ["home"], "n", visits.count()).withColumn("slot", F.pmod(F.xxhash64("jc_node"), F.col("slots")))
+    guests = placed.select("jc_node", "home", "slot").join(known.drop("home"), "jc_node").select("home", "slot", F.lit(True).alias("guest"), "root", "jc_set")
+    by_home = own.unionByName(guests).repartition("home", "slot").sortWithinPartitions("home", "slot", "guest")
     return by_home.mapInArrow(_meet(percent), "x long, y long").distinct()
 
 

@@ -87,8 +87,9 @@ def test_no_partner_is_lost_in_a_crowd(docs_of, words_of, monkeypatch):
     assert 60 < len(want) < 350
     got = {r["jc_id"]: r["jc_root"] for r in jaccard.near_copies(docs_of(texts)).collect()}
     assert partition([got[i] for i in range(len(texts))]) == want
-    # Several homes a bucket, and rounds before the visits.
+    # Several homes a bucket, several copies of a home, and rounds before the visits.
     monkeypatch.setattr(jaccard, "HOME_SHINGLES", 4000)
+    monkeypatch.setattr(jaccard, "HOME_VISITS", 10)
     monkeypatch.setattr(jaccard, "MANY_VISITS", 0)
     got = {r["jc_id"]: r["jc_root"] for r in jaccard.near_copies(docs_of(texts)).collect()}
     assert partition([got[i] for i in range(len(texts))]) == want

@@ -46,9 +46,14 @@ def vector_threshold(spark, d):
 _PAIRS = f"SELECT a.vec_id AS a, q.vec_id AS b, {_COS} AS score FROM embeddings a JOIN embeddings q ON a.vec_id < q.vec_id"
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
 def _pairs(spark, d, theta=0.4):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return C.similarity_join(e, e, theta, self_join=True).withColumn("score", F.round("score", 6)).where(F.col("score") >= theta)
+    """Pairs whose rounded score is ``theta`` or more; the join is asked for those that round up too."""
+    e = _vectors(spark, d)
+    return C.similarity_join(e, e, theta - 1e-6, self_join=True).withColumn("score", F.round("score", 6)).where(F.col("score") >= theta)
 
 
 @query("similarity_self_join", f"SELECT * FROM ({_PAIRS}) WHERE score >= 0.4")

@@ -34,6 +34,13 @@ def test_blocks_in_many_partitions(dealt):
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.7}
 
 
+def test_pending_over_many_partitions(dealt):
+    df, u = table(dealt, 2100)
+    rows, pages = df.where("id >= 5").withColumn("id", F.col("id").cast("string")), df.where("id < 5").select(F.concat(F.lit("p"), "id").alias("path"), "embedding")
+    got = {(r["drawer_id"], r["page_path"]) for r in W.pending(rows, pages, threshold=0.8).collect()}
+    assert got == {(str(i), f"p{j}") for i in range(5, 2100) for j in range(5) if u[i] @ u[j] >= 0.8}
+
+
 def test_scores_that_round_up_count(spark, tmp_path):
     for theta, name, want in ((0.45, "admission_near_duplicates", {(0, 1)}),):
         spark.createDataFrame(near_theta(theta), "vec_id long, embedding array<double>").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")

@@ -68,7 +68,9 @@ _COMPONENTS = f"""RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({_PAIRS}) WHERE
 
 @query("similarity_components", f"WITH {_COMPONENTS} SELECT id, cluster_id FROM l")
 def similarity_components(spark, d):
-    return C.connected(_pairs(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+    e = _vectors(spark, d)
+    # Scores of 0.4 when rounded to six digits; the components need no more of the pairs than a forest.
+    return C.connected(C.similarity_join(e, e, 0.4 - 5e-7, self_join=True, forest=True), e.select("id"))
 
 
 def _by_label(spark, d):

@@ -41,7 +41,26 @@ def test_pending_over_many_partitions(dealt):
     assert got == {(str(i), f"p{j}") for i in range(5, 2100) for j in range(5) if u[i] @ u[j] >= 0.8}
 
 
+def test_forest_has_the_components_of_all_pairs(dealt):
+    df, u = table(dealt, 120)
+    edges = C.similarity_join(df, df, 0.97, block=11, self_join=True, forest=True)
+    got = {r["id"]: r["cluster_id"] for r in C.connected(edges, df.select("id")).collect()}
+    root = list(range(120))
+    for i, j in zip(*np.nonzero(u @ u.T >= 0.97)):
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if r == old else r for r in root]
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 120
+    again = df.limit(1).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(299).cast("long"))).alias("id"), "embedding")
+    assert C.similarity_join(again, again, 0.97, self_join=True, forest=True).count() == 299  # not 44850 pairs
+
+
+def near_theta(theta):
+    """Vectors of which two have a cosine that rounds up to ``theta``."""
+    c = theta - 3e-7
+    return [(0, [1.0, 0.0, 0.0]), (1, [c, math.sqrt(1 - c * c), 0.0]), (2, [0.0, 0.0, 1.0])]
+
+
 def test_scores_that_round_up_count(spark, tmp_path):
-    for theta, name, want in ((0.45, "admission_near_duplicates", {(0, 1)}),):
+    for theta, name, want in ((0.4, "similarity_self_join", {(0, 1, 0.4)}), (0.45, "admission_near_duplicates", {(0, 1)}), (0.4, "similarity_components", {(0, 0), (1, 0), (2, 2)})):
         spark.createDataFrame(near_theta(theta), "vec_id long, embedding array<double>").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
         assert {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()} == want

@@ -64,3 +64,12 @@ def test_scores_that_round_up_count(spark, tmp_path):
     for theta, name, want in ((0.4, "similarity_self_join", {(0, 1, 0.4)}), (0.45, "admission_near_duplicates", {(0, 1)}), (0.4, "similarity_components", {(0, 0), (1, 0), (2, 2)})):
         spark.createDataFrame(near_theta(theta), "vec_id long, embedding array<double>").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
         assert {tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()} == want
+
+
+def test_pairs_over_many_partitions_as_by_sql(dealt, tmp_path):
+    x = np.random.default_rng(4).normal(size=(4500, 64))
+    dealt.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(np.round(u @ u.T, 6) >= 0.45, 1))
+    got = {(r["a"], r["b"]) for r in search_queries._pairs(dealt, str(tmp_path), 0.45).collect()}
+    assert got == set(zip(i.tolist(), j.tolist())) and len(got) > 500

@@ -213,10 +213,13 @@ def snippet(text: Column, pattern: str, before: int = 80, after: int = 120) -> C
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of all paragraphs, trimmed."""
-    blocks = F.filter(F.transform(F.split(text, r"\n\n"), F.trim), lambda b: b != "")
-    parts = F.flatten(F.transform(blocks, lambda b: F.split(b, r"(?<=[.!?])\s+")))
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    """Sentences of all paragraphs, trimmed.
+
+    Functions of two parameters, as ``F.trim``, would be given each element's index as their second.
+    """
+    blocks = F.filter(F.transform(F.split(text, r"\n\n"), lambda b: F.trim(b, F.lit("\n \t"))), lambda b: b != "")
+    parts = F.flatten(F.transform(blocks, lambda b: F.split(b, r"(?<=[.!?])[ \t\n\f\r]+")))
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def noun_phrase(text: Column, most: int = 80) -> Column:

@@ -136,7 +136,7 @@ def admission_near_duplicates(spark, d):
 
 @query("anchor_grouping")
 def anchor_grouping(spark, d):
-    return C.anchor_groups(_pairs(spark, d, 0.35), table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+    return C.anchor_groups(_vectors(spark, d), 0.35)
 
 
 @query("mmr_rerank")

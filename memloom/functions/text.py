@@ -270,6 +270,11 @@ def entity_type(name: Column, tools=fixed.KNOWN_TOOLS, organizations=fixed.KNOWN
     return F.when(name.isNull() | (n == ""), "concept").otherwise(out)
 
 
+def bound(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, as the variable of a lambda, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def _stems(words) -> str:
     return r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in words) + ")"
 

@@ -291,7 +291,9 @@ def numeric_facts(spark, d):
     )
     some = F.concat(F.lit("returns bool, as Open (x) and then, of all things, port "), (2000 + key % 7000).cast("string"))
     text = F.when(key % 3 == 0, full).when(key % 3 == 1, some).otherwise(F.lit("port: 8080"))
-    parts = table(spark, d, "part").select("p_partkey", "p_brand", text.alias("text"))
+    # Short rows, but much work each: a table of few bytes is worth dealing out.
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), 1 << 16)
+    parts = rows.select("p_partkey", "p_brand", text.alias("text"))
     return I.numeric_facts(parts, "p_partkey", "text", F.col("p_brand")).drop("confidence")
 
 

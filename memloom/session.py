@@ -36,15 +36,16 @@ def build_session(app: str = "memloom", master: str | None = None, **conf: str)
 ROW_GROUP_BYTES = 128 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
     """A small stored table dealt out to all cores.
 
     A file is read by row groups, so a table of few of them keeps few cores busy, however much work a row is. Dealing
-    out so little data is cheap; larger tables have more row groups than cores and stay as they are.
+    out so little data is cheap; larger tables have more row groups than cores and stay as they are. So do tables of no
+    more than ``least`` bytes.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 1 << 20 < size < cores * ROW_GROUP_BYTES else df
+    return df.repartition(cores) if least < size < cores * ROW_GROUP_BYTES else df
 
 
 _shipped: set[str] = set()

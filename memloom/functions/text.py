@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import functools
+import heapq
 import re
 
 from pyspark.sql import Column
@@ -279,26 +280,34 @@ def _stems(words) -> str:
     return r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in words) + ")"
 
 
+def _begins(low: Column, words) -> Column:
+    """Whether one of the stems begins a word; the pattern is asked only where a stem occurs at all, which bytes tell."""
+    return functools.reduce(lambda a, b: a | b, [low.contains(w) for w in words]) & low.rlike(_stems(words))
+
+
+def _codes(low: Column, table: dict) -> Column:
+    return F.array_compact(F.array(*[F.when(_begins(low, w), c) for c, w in table.items()]))
+
+
 def emotions(text: Column, most: int = 3) -> Column:
     """Codes of the first emotions, in table order, whose stems begin a word."""
-    low = F.lower(text)
-    return F.slice(F.array_compact(F.array(*[F.when(low.rlike(_stems(w)), c) for c, w in fixed.EMOTIONS.items()])), 1, most)
+    return F.slice(bound(F.lower(text), lambda low: _codes(low, fixed.EMOTIONS)), 1, most)
 
 
 def flags(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(_stems(w)), c) for c, w in fixed.FLAGS.items()]))
+    return bound(F.lower(text), lambda low: _codes(low, fixed.FLAGS))
 
 
 def key_sentence(text: Column) -> Column:
     """The sentence of twenty characters or more with the highest length plus cue weights; the first of equals."""
-    parts = F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: F.length(s) >= 20)
+    parts = F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 20)
 
     def score(s):
-        return sum((F.when(F.lower(s).rlike(_stems(w)), k).otherwise(0) for k, w in fixed.SENTENCE_CUES), F.length(s))
+        cues = lambda low: sum((F.when(_begins(low, w), k).otherwise(0) for k, w in fixed.SENTENCE_CUES), F.lit(0))
+        return F.length(s) + bound(F.lower(s), cues)
 
     best = F.array_max(F.transform(parts, lambda s, i: F.struct(score(s).alias("k"), (-i).alias("o"), s.alias("s"))))["s"]
-    return F.coalesce(F.when(F.length(best) > 140, F.concat(F.left(best, F.lit(137)), F.lit("..."))).otherwise(best), F.lit(""))
+    return F.coalesce(bound(best, lambda s: F.when(F.length(s) > 140, F.concat(F.left(s, F.lit(137)), F.lit("..."))).otherwise(s)), F.lit(""))
 
 
 def topics(text: Column, most: int = 3) -> Column:
@@ -309,10 +318,10 @@ def topics(text: Column, most: int = 3) -> Column:
     import pandas as pd
 
     def one(x):
-        words = re.findall(r"(?<![^\W_])[^\W\d_]{4,}(?![^\W_])", (x or "").lower())
-        n = collections.Counter(w for w in words if w not in skip)
-        return [w for w, _ in sorted(n.items(), key=lambda p: (-p[1], p[0]))[:most]]
+        n = collections.Counter(words((x or "").lower()))
+        return [w for _, w in heapq.nsmallest(most, ((-k, w) for w, k in n.items() if w not in skip))]
 
+    words = re.compile(r"(?<![^\W_])[^\W\d_]{4,}(?![^\W_])").findall
     skip = frozenset(fixed.NOT_TOPICS)
 
     def topics_of(s: pd.Series) -> pd.Series:
@@ -325,22 +334,22 @@ def topics(text: Column, most: int = 3) -> Column:
 def entity_codes(text: Column, most: int = 3) -> Column:
     """Three-letter codes of the first capitalised words that are not sentence words."""
     skip = F.array(*[F.lit(w.lower()) for w in fixed.NOT_ENTITIES])
-    names = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(\p{Lu}\p{L}+)(?![\p{L}\p{N}_])"), 1)
+    names = F.regexp_extract_all(text, F.lit(r"(\p{Lu}(?<![\p{L}\p{N}_]\p{Lu})\p{L}+)(?![\p{L}\p{N}_])"), 1)  # what stands before is asked of capitals only
     codes = F.transform(F.filter(names, lambda w: ~F.array_contains(skip, F.lower(w))), lambda w: F.upper(F.left(w, F.lit(3))))
     return F.slice(F.array_distinct(codes), 1, most)
 
 
 def symbolic(text: Column, wing: Column | None = None, room: Column | None = None, date: Column | None = None, stem: Column | None = None) -> Column:
     """Two-line symbolic summary: header, then entities, topics, quote, emotions and flags."""
-    e, t, q, m, f = entity_codes(text), topics(text), key_sentence(text), emotions(text), flags(text)
-    line = F.concat_ws(
-        "|",
-        F.concat(F.lit("0:"), F.when(F.size(e) > 0, F.array_join(e, "+")).otherwise("???")),
-        F.when(F.size(t) > 0, F.array_join(t, "_")).otherwise("misc"),
-        F.when(q != "", F.concat(F.lit('"'), F.replace(q, F.lit('"'), F.lit("'")), F.lit('"'))),
-        F.when(F.size(m) > 0, F.array_join(m, "+")),
-        F.when(F.size(f) > 0, F.array_join(f, "+")),
-    )
+    import pandas as pd
+
+    def lines_of(s: pd.Series) -> pd.Series:
+        from memloom.functions import symbols
+
+        return s.map(symbols.line)
+
+    lines_of.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    line = F.pandas_udf(lines_of, "string")(text)
     if wing is None and stem is None:
         return line
     head = F.concat_ws("|", *[F.coalesce(x if x is not None else F.lit(None).cast("string"), F.lit("?")) for x in (wing, room, date, stem)])

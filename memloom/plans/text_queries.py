@@ -208,7 +208,7 @@ def entity_types(spark, d):
 @query("symbolic_summaries")
 def symbolic_summaries(spark, d):
     """Two-line symbolic summaries of documents."""
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents", "doc_id", "text", "lang", "source")
     return docs.select("doc_id", T.symbolic(F.col("text"), wing=F.col("lang"), room=F.col("source")).alias("summary"))
 
 

@@ -264,7 +264,7 @@ def chunks_topic_shift(spark, d):
     """Chunks of documents, cut where the embeddings of adjacent sentences differ."""
     from memloom.seams import HashingEmbedder
 
-    return I.chunked(table(spark, d, "documents"), "doc_id", "text", HashingEmbedder().embed)
+    return I.chunked(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", HashingEmbedder().matrix)
 
 
 @query("chunks_structural")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from typing import Protocol
@@ -18,6 +19,24 @@ class Llm(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+_WORDS = re.compile(r"\w+").findall
+#: How many hashes of words a process keeps before it lets them go.
+_MOST_HASHES = 1 << 18
+
+
+class _Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MOST_HASHES:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        return h
+
+
+_hash = _Hashes().__getitem__
+
+
 class HashingEmbedder:
     """Signed hashing of words into ``dim`` places, scaled to length one."""
 
@@ -25,15 +44,19 @@ class HashingEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str], kind: str = "document") -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * self.dim
-            for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                v[h % self.dim] += 1.0 if h >> 63 else -1.0
-            n = sum(x * x for x in v) ** 0.5
-            out.append([x / n for x in v] if n else v)
-        return out
+        return self.matrix(texts).tolist()
+
+    def matrix(self, texts: list[str]):
+        """The vectors of ``embed`` as rows of an array."""
+        import numpy as np
+
+        hashes = [list(map(_hash, _WORDS(text.lower()))) for text in texts]
+        h = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64)
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in hashes])
+        at = row * self.dim + (h % np.uint64(self.dim)).astype(np.int64)
+        v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * self.dim).astype(float).reshape(len(texts), self.dim)
+        n = np.array([x**0.5 for x in (v * v).sum(1).tolist()]).reshape(-1, 1)  # sums of whole numbers, so exact
+        return np.divide(v, n, out=v, where=n > 0)
 
     def count_tokens(self, text: str) -> int:
         return max(1, len(text) // 4)

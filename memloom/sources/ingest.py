@@ -256,10 +256,13 @@ def count_tokens(text: str) -> int:
     return max(1, len(text) // 4)
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
 def split_sentences(text: str) -> list[str]:
     out = []
     for block in (b.strip() for b in text.split("\n\n")):
-        out += [s.strip() for s in re.split(r"(?<=[.!?])\s+", block) if s.strip()]
+        out += [t for s in _SENTENCE_END.split(block) if (t := s.strip())]
     return out
 
 
@@ -297,12 +300,11 @@ def topic_chunks(
 
         v = np.asarray(embed(parts), float)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        near = np.concatenate([[1.0], (v[1:] * v[:-1]).sum(1)])
+        near = [1.0, *(v[1:] * v[:-1]).sum(1).tolist()]
         chunks, now, used = [], [], 0
         for i, s in enumerate(parts):
             n = count(s)
-            low = near[i] <= near[max(1, i - 2) : i + 3].min()
-            cut = used >= least and near[i] < threshold or used + n > most or used >= target and low
+            cut = used >= least and near[i] < threshold or used + n > most or used >= target and near[i] <= min(near[max(1, i - 2) : i + 3])
             if now and cut:
                 chunks.append(" ".join(now))
                 now, used = [], 0
@@ -378,6 +380,10 @@ def structural(text: str, least: int = 200, target: int = 800, most: int = 1200,
     return [c for c in out if c]
 
 
+#: Characters of chunks that a task gathers before it sends them on.
+SENT_CHARS = 1 << 22
+
+
 def _chunk_table(df: DataFrame, id_col: str, text_col: str, cut: Callable[[str], list[str]]) -> DataFrame:
     import pyarrow as pa
 
@@ -385,11 +391,22 @@ def _chunk_table(df: DataFrame, id_col: str, text_col: str, cut: Callable[[str],
 
     def run(batches):
         for batch in batches:
+            rows, ords, chunks, size = [], [], [], 0
+
+            def sent(batch=batch):
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(ords, pa.int32()), pa.array(chunks, pa.string())], names=[id_col, "ord", "chunk"])
+
             for k, x in enumerate(batch.column(1)):
-                chunks = cut(x.as_py() or "")
-                if chunks:
-                    ids = batch.column(0).take(pa.array([k] * len(chunks)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.string())], names=[id_col, "ord", "chunk"])
+                new = cut(x.as_py() or "")
+                rows += [k] * len(new)
+                ords += range(len(new))
+                chunks += new
+                size += sum(map(len, new))
+                if size > SENT_CHARS:
+                    yield sent()
+                    rows, ords, chunks, size = [], [], [], 0
+            if rows:
+                yield sent()
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {t}, ord int, chunk string")
 

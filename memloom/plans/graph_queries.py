@@ -316,11 +316,13 @@ def wiki_lint_counts(spark, d):
 def pending_updates(spark, d):
     """Review queue: embeddings near a page's vector; the medoid of each label stands for a page."""
     from memloom.operators.cluster import medoids
+    from memloom.sources.store import written
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster_id"))
-    chosen = medoids(e).select("id")
-    pages = e.join(chosen, "id", "left_semi").select(F.concat(F.lit("topic/page-"), F.col("id").cast("string")).alias("path"), "embedding")
-    return W.pending(e.join(chosen, "id", "left_anti").select(F.col("id").cast("string").alias("id"), "embedding"), pages, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
+    # Written once: the join reads the choice several times, and a page is one row, however many rows share its id.
+    chosen = written(medoids(e, keep=("embedding",)))
+    pages = chosen.select(F.concat(F.lit("topic/page-"), F.col("id").cast("string")).alias("path"), "embedding")
+    return W.pending(e.join(chosen.select("id"), "id", "left_anti").select(F.col("id").cast("string").alias("id"), "embedding"), pages, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 # Calibration ------------------------------------------------------------------------------------

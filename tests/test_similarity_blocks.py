@@ -89,3 +89,12 @@ def test_self_join_equals_its_sql(dealt, tmp_path):
     dealt.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = Counter(tuple(r) for r in registry.queries()["similarity_self_join"](dealt, str(tmp_path)).collect())
     assert got == by_sql(tmp_path, "similarity_self_join") and got.total() > 10000
+
+
+def test_pending_equals_its_sql(dealt, tmp_path):
+    x = np.random.default_rng(7).normal(size=(2500, 8))
+    rows = [(None if i % 700 == 7 else i, v.tolist(), i % 9) for i, v in enumerate(x)]
+    rows += rows[:1200]  # among them the rows of some medoids
+    dealt.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = Counter(tuple(r) for r in registry.queries()["pending_updates"](dealt, str(tmp_path)).collect())
+    assert got == by_sql(tmp_path, "pending_updates") and got.total() > 1000
